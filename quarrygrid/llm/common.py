@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import functools
+import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,11 @@ def hex_bucket(hexes: Column | str, parts: int) -> Column:
     return F.floor(F.conv(F.substring(hexes, 1, 8), 16, 10).cast("double") * parts / float(1 << 32)).cast("long")
 
 
+def even_parts(n: int) -> int:
+    """Into how many parts to cut n rows that are to be ranked: as many parts as rows in each."""
+    return max(1, math.isqrt(n))
+
+
 def parts_for(n: int, each: int) -> int:
     return max(1, -(-n // each))
 
@@ -93,6 +99,3 @@ def parts_for(n: int, each: int) -> int:
 def renamed(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Only the columns that an operator reads: extra columns, whatever their names, cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in keep])
-
-
-Fold = Callable[[Iterator], Iterator]

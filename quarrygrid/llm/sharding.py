@@ -20,17 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_source_rank, hex_bucket, parts_for, renamed, saved
+from .common import by_source_rank, even_parts, hex_bucket, renamed, saved
 
 
-def interleaved(keys: DataFrame, group: str, shuffle: Column, tie: list[str], n: int | None = None, each: int = 50_000) -> DataFrame:
+def interleaved(keys: DataFrame, group: str, shuffle: Column, tie: list[str], n: int | None = None) -> DataFrame:
     """keys with `position`: gapless from 0, every group spread evenly over the sequence.
 
     shuffle: a seeded hash as hexadecimal text; tie: columns that order equal hashes; n: rows of keys,
-    counted here where not given; each: rows that one task ranks at a time, about.
+    counted here where not given.
     """
     n = keys.count() if n is None else n
-    parts = parts_for(n, each)
+    parts = even_parts(n)
     keys = keys.withColumn("_h", shuffle)
     ranked = by_source_rank(keys, [group], ["_h", *[F.col(c).asc_nulls_first() for c in tie]], hex_bucket("_h", parts), "_rank", "_of")
     ranked = ranked.withColumn("_f", (2 * F.col("_rank") + 1) / (2 * F.col("_of")))
