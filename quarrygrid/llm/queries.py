@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash, token_frames
+from . import ego_join, langid, mixing, packing, quality, sharding, simhash, token_frames, toxicity
 from .common import table, tokenizer_path
 
 
+def _fold(of: int) -> Column:
+    """crc32 of doc_id as text, modulo `of`."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of
+
+
+def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ego_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_frames.token_output(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -19,11 +29,40 @@ def op3_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_pack_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(*toxicity.sample(docs, table(spark, sf_dir, "labels"), _fold(3) != 1))
+    out = toxicity.scored(docs, model)
+    return out.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_frames, op3_shard_interleave, op7_simhash_anchors)}
+def op8_mix_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dicts = langid.dictionaries(langid.sample(docs, _fold(4) != 2))
+    out = langid.identified(docs, dicts)
+    return out.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), F.col("lang_best").alias("lang_pred"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_ego_join, op2_token_frames, op3_shard_interleave, op5_pack_squares, op6_toxicity_subwords, op7_simhash_anchors, op8_mix_entropy, op9_quality_votes, op10_language_zstd)}
 
 SQL: dict[str, str] = {}
