@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ego_join, langid, mixing, packing, quality, sharding, simhash, token_frames, toxicity
+from . import ego_join, langid, mixing, packing, quality, sharding, simhash, suffix_dedup, token_frames, toxicity
 from .common import table, tokenizer_path
 
 
@@ -29,6 +29,11 @@ def op3_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.digest(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_pack_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -63,6 +68,6 @@ def op10_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), F.col("lang_best").alias("lang_pred"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_ego_join, op2_token_frames, op3_shard_interleave, op5_pack_squares, op6_toxicity_subwords, op7_simhash_anchors, op8_mix_entropy, op9_quality_votes, op10_language_zstd)}
+QUERIES = {f.__name__: f for f in (op1_ego_join, op2_token_frames, op3_shard_interleave, op4_suffix_columns, op5_pack_squares, op6_toxicity_subwords, op7_simhash_anchors, op8_mix_entropy, op9_quality_votes, op10_language_zstd)}
 
 SQL: dict[str, str] = {}
