@@ -96,6 +96,16 @@ def parts_for(n: int, each: int) -> int:
     return max(1, -(-n // each))
 
 
+def carried(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns that an operator reads, and `row` with all of them: whatever df has stays apart."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[F.col(f"`{c}`") for c in keep])
+
+
+def unpacked(df: DataFrame, columns: Sequence[str], text: str | None = None) -> DataFrame:
+    """The columns that carried() put into `row`; text: the column that takes the place of row's text."""
+    return df.select(*[F.col(text).alias(c) if text and c == "text" else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def renamed(df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Only the columns that an operator reads: extra columns, whatever their names, cannot clash."""
     return df.select(*[F.col(f"`{c}`") for c in keep])

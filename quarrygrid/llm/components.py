@@ -76,10 +76,13 @@ def roots(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def components(nodes: DataFrame, key: str, name: str, edges: DataFrame) -> DataFrame:
-    """key and component_id, the smallest `name` of each node's component; nodes has one row a key."""
+    """key, root and component_id, the smallest key and the smallest `name` of each node's component.
+
+    nodes has one row a key.
+    """
     tree = roots(edges)
     placed = nodes.join(tree.withColumnRenamed("u", key), key, "left").select(key, name, F.coalesce("v", key).alias("root"))
     placed = saved(placed, "rooted")
     linked = tree.select(F.col("v").alias("root")).distinct()
     names = placed.join(linked, "root", "left_semi").groupBy("root").agg(F.min(name).alias("least"))
-    return placed.join(names, "root", "left").select(key, F.coalesce("least", name).alias("component_id"))
+    return placed.join(names, "root", "left").select(key, "root", F.coalesce("least", name).alias("component_id"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, by_source_rank, even_parts, hex_bucket, renamed, saved
+from .common import WORD, by_source_rank, carried, even_parts, hex_bucket, renamed, saved, unpacked
 
 #: Sums of a Newton step are whole multiples of 1 / GRAIN words.
 GRAIN = 1024
@@ -126,13 +126,10 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     Rows are found again by doc_id, source and a hash of the text; equal rows share their copies, any
     odd one rounded up.
     """
-    if docs.isEmpty():
-        return docs
     key = ["doc_id", "source", "text_hash"]
     places = mixed(docs, **options).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    places = places.select(*[F.col(c).alias(f"_{c}") for c in key], F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_text_hash"))
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    made = own.join(places, on).withColumn("_times", each).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return made.select(*[F.col(f"`{c}`") for c in docs.columns])
+    places = places.where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in key], F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("times"))
+    own = carried(docs, ["doc_id", "source", "text"]).withColumn("hash", F.xxhash64("text")).drop("text")
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("hash") == F.col("_text_hash"))
+    made = own.join(places, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return unpacked(made, docs.columns)

@@ -6,7 +6,7 @@ maximisation on those counts estimates, without labels, how often each rule is r
 bad documents of each kind, and the share of good documents.  A document is kept by its posterior
 probability of being good, not by passing every rule.
 
-Measures are taken in one pass over whole texts; a table of small columns is what is kept of it.
+Measures are taken in one pass over whole texts.
 
 Defined results: a null text has no words, and a document under the base limits (`base_failed`) is
 never kept; rows with equal doc_id are judged each on its own; an empty table gives no rows; on
@@ -21,8 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import renamed, rows, saved
+from .common import carried, renamed, saved, unpacked
 
 #: Fixed values of the contract.
 SYMBOLS, BLANKS, WINDOW, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", b" \t\n\v\f\r", 8, 20, 30
@@ -64,17 +65,19 @@ def measured(text: str | None) -> tuple[int, ...]:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of every row of docs (doc_id, text)."""
+    """The columns of docs, which has `text` last, with the measures in its place."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
+    kept = docs.columns[:-1]
 
     def make(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for some in rows(batches, 1 << 23):
-            found = np.array([measured(text) for _, text in some], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), *map(pa.array, found.T)], ["doc_id", *names])
+        for batch in batches:
+            found = np.array([measured(text) for text in batch.column("text").to_pylist()], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, np.ascontiguousarray(found.T))], [*kept, *names])
 
-    return renamed(docs, ["doc_id", "text"]).mapInArrow(make, f"doc_id long, {MEASURES}")
+    schema = T.StructType([*docs.schema.fields[:-1], *T.StructType.fromDDL(MEASURES).fields])
+    return docs.mapInArrow(make, schema)
 
 
 @dataclass(frozen=True)
@@ -149,16 +152,35 @@ class LabelModel:
         return self
 
 
+def voted(docs: DataFrame, by: Sequence[Rule]) -> DataFrame:
+    """measures() with votes and base_failed."""
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    return measures(docs).withColumn("votes", F.array(*[r.vote() for r in by])).withColumn("base_failed", failed)
+
+
+def posteriors(votes: DataFrame, n: int) -> DataFrame:
+    """votes and posterior of every pattern: of n rules there are 3 ** n at most, whatever the corpus."""
+    patterns = sorted((tuple(r.votes), r.n) for r in votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())
+    table = np.array([p for p, _ in patterns], np.int64).reshape(-1, n)
+    model = LabelModel(n).fit(table, np.array([c for _, c in patterns], float))
+    found = [(list(p), float(x)) for (p, _), x in zip(patterns, model.posterior(table), strict=True)]
+    out = votes.sparkSession.createDataFrame(found, "votes array<tinyint>, posterior double")
+    return F.broadcast(out) if 3**n <= 60_000 else out
+
+
 def judged(docs: DataFrame, by: Sequence[Rule] | None = None, keep_from: float = 0.5) -> DataFrame:
     """doc_id, the measures, base_failed, votes, posterior and kept of every row of docs."""
     by = rules() if by is None else by
-    own = measures(docs).withColumn("votes", F.array(*[r.vote() for r in by]))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    own = saved(own.withColumn("base_failed", failed), "measures")
-    patterns = sorted((tuple(r.votes), r.n) for r in own.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect())
-    votes = np.array([p for p, _ in patterns], np.int64).reshape(-1, len(by))
-    model = LabelModel(len(by)).fit(votes, np.array([n for _, n in patterns], float))
-    scored = own.sparkSession.createDataFrame([(list(p), float(x)) for (p, _), x in zip(patterns, model.posterior(votes), strict=True)], "votes array<tinyint>, posterior double")
-    # At most 3 ** len(by) patterns: a bound that does not grow with the corpus.
-    scored = F.broadcast(scored) if 3 ** len(by) <= 60_000 else scored
-    return own.join(scored, "votes").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
+    own = saved(voted(renamed(docs, ["doc_id", "text"]), by), "measures")
+    return own.join(posteriors(own, len(by)), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_from))
+
+
+def kept_rows(docs: DataFrame, by: Sequence[Rule] | None = None, keep_from: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept.
+
+    Votes are counted in one pass and taken again in the next, so that no text is shuffled.
+    """
+    by = rules() if by is None else by
+    found = posteriors(voted(renamed(docs, ["doc_id", "text"]), by).select("votes"), len(by))
+    out = voted(carried(docs, ["text"]), by).join(found, "votes").where(~F.col("base_failed") & (F.col("posterior") >= keep_from))
+    return unpacked(out, docs.columns)

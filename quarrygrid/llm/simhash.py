@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed, rows, saved
+from .common import carried, renamed, rows, saved, unpacked
 from .components import components
 
 #: Every position of the Hamming code by its bit of the syndrome: 1 to 31, bit i-1 of the half is position i.
@@ -57,17 +57,18 @@ def fingerprint_bits(words: list[bytes], size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number, of every row of docs (doc_id, text)."""
+    """doc_id, text_hash and fp, the fingerprint as a signed 64-bit number, of every row of docs (doc_id, text)."""
 
     def make(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for some in rows(batches):
-            ids = pa.array([x[0] for x in some], pa.int64())
-            fps = np.array([fingerprint_bits((x[1] or "").encode().lower().split(), size) for x in some], np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            ids, hashes = (pa.array([x[k] for x in some], pa.int64()) for k in (0, 1))
+            fps = np.array([fingerprint_bits((x[2] or "").encode().lower().split(), size) for x in some], np.uint64)
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return renamed(docs, ["doc_id", "text"]).mapInArrow(make, "doc_id long, fp long")
+    own = renamed(docs, ["doc_id", "text"]).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return own.mapInArrow(make, "doc_id long, text_hash long, fp long")
 
 
 def _anchors(half: Column) -> Column:
@@ -103,9 +104,25 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = 2, size: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of every row of docs; see the module."""
+    """doc_id, text_hash, fp, root (names the component) and component_id of every row of docs; see the module."""
     own = saved(fingerprints(docs, size), "fingerprints")
     distinct = saved(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
     found = links(distinct.select("fp"), bits)
     classes = components(distinct, "fp", "node", found)
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return own.join(classes, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, bits: int = 2, size: int = 3) -> DataFrame:
+    """The rows of docs that stay: of each component the one with the smallest doc_id, once.
+
+    Texts move once, to meet what goes; equal rows are looked for only where keys say there are some.
+    """
+    own = saved(near_duplicates(docs, bits, size).select("doc_id", "text_hash", "root"), "classes")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    go = own.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    go = go.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash"))
+    rows_ = carried(docs, ["doc_id", "text"]).withColumn("hash", F.xxhash64("text"))
+    stay = rows_.join(go, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("hash") == F.col("_hash")), "left_anti")
+    if not own.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id", "hash"])
+    return unpacked(stay, docs.columns)

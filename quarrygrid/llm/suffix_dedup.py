@@ -37,8 +37,9 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import parts_for, renamed, rows, saved
+from .common import carried, parts_for, renamed, rows, saved, unpacked
 
 GRAM = 32
 #: Bytes hashed at a time, and of a batch whose equal segments meet before anything is sent.
@@ -403,16 +404,16 @@ def digest(docs: DataFrame, length: int = 100) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
     """The rows of docs with the kept text; of a character cut by a span's edge the other bytes go too."""
-    docs = numbered(docs)
-    found = spans(docs.select("ord", "text"), length).select("ord", "starts", "ends")
+    own = numbered(carried(docs, ["doc_id", "text"]))
+    found = spans(own.select("ord", "text"), length).select("ord", "starts", "ends")
 
     def shorten(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             texts = [t if a is None else cut(t.encode(), a, b).decode(errors="ignore") for t, a, b in zip(*(batch.column(n).to_pylist() for n in ("text", "starts", "ends")), strict=True)]
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "kept"])
 
-    names = [n for n in docs.columns if n != "ord"]
-    return docs.join(found, "ord", "left").mapInArrow(shorten, docs.drop("ord").schema)
+    joined = own.join(found, "ord", "left").select("row", "text", "starts", "ends")
+    kind = T.StructType([joined.schema["row"], T.StructField("kept", T.StringType())])
+    return unpacked(joined.mapInArrow(shorten, kind), docs.columns, "kept")
