@@ -17,10 +17,20 @@ table gives no rows; more shards than rows leave shards empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_source_rank, even_parts, hex_bucket, renamed, saved
+from .common import by_source_rank, carried, even_parts, hex_bucket, renamed, saved
+
+
+def size_of(text: str) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size")
+
+
+def crc_of(text: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32")
 
 
 def interleaved(keys: DataFrame, group: str, shuffle: Column, tie: list[str], n: int | None = None) -> DataFrame:
@@ -44,8 +54,8 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 1) -> DataFrame:
     keys = renamed(docs, ["doc_id", "text", "source"]).select(
         "doc_id",
         "source",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        size_of("text"),
+        crc_of("text"),
     )
     keys = saved(keys, "shard-keys")
     n = keys.count()
@@ -57,18 +67,17 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 1) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 24, seed: int = 1) -> None:
-    """The rows of docs with a doc_id, in folder/shard=K, each file in slot order.
+    """The rows of docs with all their columns in folder/_shard=K, in slot order within files.
 
-    Rows are found again by doc_id, text checksum and size; equal rows among those are interchangeable
-    and take their slots in any order.
+    Rows are found again by doc_id, source, text checksum and size; rows equal in those are
+    interchangeable and take their slots in any order.
     """
-    from pyspark.sql.window import Window as W
-
     key = ["doc_id", "text_crc32", "size", "source"]
-    places = shard(docs, shards, seed)
-    own = docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")).withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
-    own, places = own.withColumn("_nth", nth), places.withColumn("_nth", F.row_number().over(W.partitionBy(*key).orderBy("shard", "slot")))
-    on = [own[c].eqNullSafe(places[c]) for c in [*key, "_nth"]]
-    out = own.join(places, on).select(*[own[c] for c in docs.columns], places["shard"], places["slot"])
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    by = Window.partitionBy(*key)
+    places = shard(docs, shards, seed).withColumn("nth", F.row_number().over(by.orderBy("shard", "slot")))
+    places = places.select(*[F.col(c).alias(f"_{c}") for c in [*key, "nth"]], F.col("shard").alias("_shard"), "slot")
+    own = carried(docs, ["doc_id", "source", "text"]).select("row", "doc_id", "source", size_of("text"), crc_of("text"))
+    own = own.withColumn("nth", F.row_number().over(by.orderBy(F.lit(0))))
+    on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*key, "nth"]])
+    out = own.join(places, on).repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot")
+    out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "_shard").write.partitionBy("_shard").parquet(folder)
