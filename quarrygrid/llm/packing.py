@@ -1,8 +1,10 @@
 """Best-fit packing by the sum of squares.
 
 Bins hold `capacity` tokens.  Let N(g) be how many open bins have a gap of g tokens.  A piece goes
-into the bin, open or new, after which the sum of N(g) ** 2 is smallest: gaps that few bins have are
-made, gaps that many have are used, and none piles up.  Full bins count no more.
+into the open bin with room after which the sum of N(g) ** 2 is smallest: gaps that few bins have are
+made, gaps that many have are used, and none piles up.  Full bins count no more.  A new bin is
+opened where no open one has room: sequences are to be few, and with the longest pieces first an
+early new bin is never needed.
 
 Pieces are dealt to blocks of bounded size by a hash and packed there, longest first; bins that a
 block leaves open give their pieces back to a second, smaller deal, and so on until one block is
@@ -61,21 +63,22 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """The bin of each item, in the order given; bins are numbered from 0 as they are opened."""
     n = np.zeros(capacity + 1, np.int64)  # open bins by gap; gap 0 is never counted
     open_: list[list[int]] = [[] for _ in range(capacity + 1)]
-    out, bins = np.empty(len(lengths), np.int64), 0
+    out, bins, never = np.empty(len(lengths), np.int64), 0, np.iinfo(np.int64).max
     for k, size in enumerate(lengths.tolist()):
-        # From gap g to g - size the sum changes by 2 * (N(g - size) - N(g) + 1), and by 1 - 2 * N(g)
-        # if the bin is full then; a new bin adds 2 * N(capacity - size) + 1, or nothing if it is full.
-        change = 2 * (n[: capacity - size] - n[size:capacity] + 1)
-        change[0] = 1 - 2 * n[size] if size < capacity else 0
-        change[n[size:capacity] == 0] = np.iinfo(np.int64).max
-        gap, least = 0, 2 * n[capacity - size] + 1 if size < capacity else 0
-        if len(change) and change[at := int(change.argmin())] <= least:
-            gap = at + size
-        if gap:
+        gap = capacity
+        if size < capacity:
+            # From gap g to g - size the sum changes by 2 * (N(g - size) - N(g) + 1), and by 1 - 2 * N(g)
+            # if that fills the bin; of equal changes the smallest gap is taken.
+            change = 2 * (n[: capacity - size] - n[size:capacity] + 1)
+            change[0] = 1 - 2 * n[size]
+            change[n[size:capacity] == 0] = never
+            if change[at := int(change.argmin())] < never:
+                gap = at + size
+        if gap < capacity:
             n[gap] -= 1
             own = open_[gap].pop()
         else:
-            own, bins, gap = bins, bins + 1, capacity
+            own, bins = bins, bins + 1
         out[k] = own
         if gap > size:
             n[gap - size] += 1
@@ -83,32 +86,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def packed_block(lengths: np.ndarray, capacity: int, rounds: int = 6) -> np.ndarray:
-    """The bin of each item, given longest first: by the sum of squares, then the bins left open anew.
-
-    What lies in open bins is packed again, shuffled and longest first in turn, as long as bins are won.
-    """
-    out = np.empty(len(lengths), np.int64)
-    whole = lengths >= capacity
-    out[whole] = np.arange(whole.sum())
-    rest, first = np.flatnonzero(~whole), int(whole.sum())
-    rng = np.random.default_rng(len(rest))
-    out[rest] = first + sum_of_squares(lengths[rest], capacity)
-    lost = 0
-    for k in range(rounds):
-        fill = np.bincount(out[rest], lengths[rest], minlength=first)
-        again = rest[fill[out[rest]] < capacity]
-        used = np.unique(out[again])
-        if len(used) < 2 or lost > 1:
-            break
-        order = again if k % 2 else rng.permutation(again)
-        found = sum_of_squares(lengths[order], capacity)
-        lost = 0 if found.max() + 1 < len(used) else lost + 1
-        if found.max() + 1 <= len(used):
-            out[order] = used[found]
-    return out
-
-
 def pack(items: DataFrame, capacity: int = 2048, each: int = 50_000) -> DataFrame:
     """items (PIECE and nth) with sequence_id and offset.
 
@@ -125,7 +102,7 @@ def pack(items: DataFrame, capacity: int = 2048, each: int = 50_000) -> DataFram
         # Longest first; the rest makes the order the same in every run.
         order = np.lexsort([table.column("piece").to_numpy(), table.column("row").to_numpy(), table.column("doc_id").fill_null(-1).to_numpy(), -lengths])
         table, lengths = table.take(pa.array(order)), lengths[order]
-        bins = packed_block(lengths, capacity)
+        bins = sum_of_squares(lengths, capacity)
         by_bin = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[by_bin])
         starts = ends - lengths[by_bin]

@@ -39,8 +39,15 @@ def word_of(part: str) -> str:
     return part.lower().strip(_ENDS)
 
 
-def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], buckets: int, at_once: int = 30_000) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all subwords of the words, one word after another, and how many each word has."""
+    parts = [_subwords(words[k : k + at_once], buckets) for k in range(0, len(words), at_once)]
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     raw = [b"<" + w.encode() + b">" for w in words]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
@@ -57,7 +64,7 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
             m = (m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             found.append((m >> np.uint64(32)) % np.uint64(buckets))
             owners.append(owner[at])
-    ids, own = np.concatenate(found).astype(np.int64), np.concatenate(owners)
+    ids, own = np.concatenate(found).astype(np.int32), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     return ids[order], np.bincount(own, minlength=len(raw))
 
@@ -91,22 +98,27 @@ class Model:
         return np.frombuffer(self.weights, np.float32)
 
 
-def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, window: int = 5, epochs: int = 30, batch: int = 512, rate: float = 0.05, decay: float = 1e-6, seed: int = 7) -> Model | None:
-    """Trains on texts and 0/1 labels; None if a class is missing."""
+def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int = 8, window: int = 5, epochs: int = 40, batch: int = 512, rate: float = 0.05, decay: float = 1e-6, drop: float = 0.6, seed: int = 7) -> Model | None:
+    """Trains on texts and 0/1 labels; None if a class is missing.
+
+    drop: the share of subwords left out at random in each step, as a misspelling leaves some out; what
+    is left has to carry the label.
+    """
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return None
     numbers: dict[str, int] = {}
-    docs = [np.array([numbers.setdefault(w, len(numbers)) for p in t.split() if (w := word_of(p))], np.int64) for t in texts]
+    docs = [np.array([numbers.setdefault(w, len(numbers)) for p in t.split() if (w := word_of(p))], np.int32) for t in texts]
     grams, per_word = subwords(list(numbers) or ["-"], buckets)
     first = np.cumsum(per_word) - per_word
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (buckets, dim))
+    table = rng.normal(0, 0.02, (buckets, dim))
     soft, bias = rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, soft, bias)]
     step = 0
     for _ in range(epochs):
-        z = means((table @ (soft[:, 1] - soft[:, 0]))[grams], per_word)
+        scalar = (table @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
+        z = np.concatenate([means(scalar[grams[first[k] : first[k] + per_word[k : k + 30_000].sum()]], per_word[k : k + 30_000]) for k in range(0, len(per_word), 30_000)])
         spans = [worst(z[d], window) for d in docs]
         for some in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // batch)):
             parts = [docs[i][slice(*spans[i])] for i in some]
@@ -115,13 +127,14 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int =
             n = per_word[words]
             ends = np.cumsum(n)
             own = grams[np.repeat(first[words] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-            hidden = means(means(table[own], n), sizes)
+            kept = (rng.random(len(own)) >= drop)[:, None]
+            hidden = means(means(table[own] * kept, n), sizes)
             logits = hidden @ soft + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(some)), y[some]] -= 1
             p /= len(some)
-            share = np.repeat(np.repeat(p @ soft.T / np.maximum(sizes, 1)[:, None], sizes, axis=0) / np.maximum(n, 1)[:, None], n, axis=0)
+            share = np.repeat(np.repeat(p @ soft.T / np.maximum(sizes, 1)[:, None], sizes, axis=0) / np.maximum(n, 1)[:, None], n, axis=0) * kept
             grad = np.column_stack([np.bincount(own, share[:, k], minlength=buckets) for k in range(dim)])
             step += 1
             for x, g, (m, v) in zip((table, soft, bias), (grad + decay * table, hidden.T @ p, p.sum(axis=0)), state, strict=True):
