@@ -43,7 +43,7 @@ from .common import carried, parts_for, renamed, rows, saved, unpacked
 
 GRAM = 32
 #: Bytes hashed at a time, and of a batch whose equal segments meet before anything is sent.
-CHUNK, BATCH = 1 << 20, 1 << 25
+CHUNK, BATCH = 1 << 20, 1 << 24
 #: Contents of a gram beyond which its windows are settled one by one: in a batch, and in a bucket.
 MANY_IN_BATCH, MANY = 16, 2000
 REPEATED, OPEN, WIDE = 0, 1, 2

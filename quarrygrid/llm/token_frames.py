@@ -39,9 +39,9 @@ MANIFEST = "file string, docs long, tokens long, bytes long"
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> MemoEncoder:
+def encoder(path: str, max_parts: int = 1_500_000) -> MemoEncoder:
     """One for each worker process, so that its memo outlives a task."""
-    return MemoEncoder(path, 1_500_000)
+    return MemoEncoder(path, max_parts)
 
 
 def _open(path: str, mode: str):
