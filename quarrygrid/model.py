@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from quarrygrid import schema as S
 from quarrygrid.functions.aggregates import known
@@ -54,9 +55,10 @@ class Dataset:
 
     @property
     def types(self) -> dict[str, str]:
-        """Types of all columns, calculated ones too."""
-        calculated = {n: t for n, t in S.of_frame(self.base.select(*[S.col(c) for c in self.calc])).items()} if self.calc else {}
-        return {**self.schema, **calculated}
+        """Types of all columns, calculated ones too; times without a zone are told apart."""
+        calculated = S.of_frame(self.base.select(*[S.col(c) for c in self.calc])) if self.calc else {}
+        zoneless = {f.name for f in self.frame.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
+        return {n: "datetime_ntz" if t == "datetime" and n in zoneless else t for n, t in {**self.schema, **calculated}.items()}
 
     @property
     def base(self) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from quarrygrid.model import Transaction
 from quarrygrid.schema import SPARK_TYPES, col, coerced, project_rows, schema_keys
 
-PRESENT, SEQ = "patch_present", "patch_seq"
+PRESENT, SEQ = "__present", "__seq"
 
 
 def patch_frame(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: Mapping[str, str], key: str, first_seq: int = 0) -> DataFrame:
@@ -38,14 +38,14 @@ def as_patches(df: DataFrame, seq: str | None = None) -> DataFrame:
 
 
 def merged(patches: DataFrame, key: str) -> DataFrame:
-    """One row a key: `v_` the winning value and `h_` whether any patch brings it, for every other column."""
+    """One row a key: `__v` the winning value and `__h` whether any patch brings it, for every other column."""
     names = [c for c in patches.columns if c not in (key, PRESENT, SEQ)]
     aggregates = []
     for k, n in enumerate(names):
         seq = F.when(F.array_contains(PRESENT, n), F.col(SEQ))
         # The struct keeps an explicit null of the winning patch.
-        aggregates += [F.max_by(F.struct(col(n).alias("v")), seq)["v"].alias(f"v_{k}"), F.max(seq).isNotNull().alias(f"h_{k}")]
-    return patches.where(col(key).isNotNull()).groupBy(col(key).alias("patch_key")).agg(*aggregates)
+        aggregates += [F.max_by(F.struct(col(n).alias("v")), seq)["v"].alias(f"__v{k}"), F.max(seq).isNotNull().alias(f"__h{k}")]
+    return patches.where(col(key).isNotNull()).groupBy(col(key).alias("__patch")).agg(*aggregates)
 
 
 def upserted(snapshot: DataFrame, patches: DataFrame, key: str) -> DataFrame:
@@ -53,12 +53,12 @@ def upserted(snapshot: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     order = [c for c in patches.columns if c not in (key, PRESENT, SEQ)]
     at = {n: k for k, n in enumerate(order)}
     own = merged(patches, key)
-    new_value = lambda n: F.col(f"v_{at[n]}") if n in at else F.lit(None)
+    new_value = lambda n: F.col(f"__v{at[n]}") if n in at else F.lit(None)
     types = {f.name: f.dataType for f in snapshot.schema.fields}
-    kept = snapshot.join(own, col(key).eqNullSafe(F.col("patch_key")), "left").select(*[col(c) if c == key or c not in at else F.when(F.coalesce(F.col(f"h_{at[c]}"), F.lit(False)), new_value(c)).otherwise(col(c)).cast(types[c]).alias(c) for c in snapshot.columns])
-    seen = snapshot.select(col(key).alias("seen_key"))
-    fresh = own.join(seen, F.col("patch_key") == F.col("seen_key"), "left_anti")
-    fresh = fresh.select(*[F.col("patch_key").cast(types[key]).alias(key) if c == key else new_value(c).cast(types[c]).alias(c) for c in snapshot.columns])
+    kept = snapshot.join(own, col(key).eqNullSafe(F.col("__patch")), "left").select(*[col(c) if c == key or c not in at else F.when(F.coalesce(F.col(f"__h{at[c]}"), F.lit(False)), new_value(c)).otherwise(col(c)).cast(types[c]).alias(c) for c in snapshot.columns])
+    seen = snapshot.select(col(key).alias("__seen"))
+    fresh = own.join(seen, F.col("__patch") == F.col("__seen"), "left_anti")
+    fresh = fresh.select(*[F.col("__patch").cast(types[key]).alias(key) if c == key else new_value(c).cast(types[c]).alias(c) for c in snapshot.columns])
     return kept.unionByName(fresh)
 
 
@@ -71,10 +71,10 @@ def removed(snapshot: DataFrame, ids: DataFrame | Sequence[Any], key: str) -> Da
             return snapshot
         kind = snapshot.schema[key].dataType
         text = isinstance(kind, T.StringType)
-        ids = snapshot.sparkSession.createDataFrame([(str(v),) for v in values], "k string").select(F.col("k") if text else F.col("k").try_cast(kind).alias("k"))
+        ids = snapshot.sparkSession.createDataFrame([(str(v),) for v in values], "__removed string").select(F.col("__removed") if text else F.col("__removed").try_cast(kind).alias("__removed"))
     else:
-        ids = ids.select(ids.columns[0]).toDF("k")
-    return snapshot.join(ids.distinct(), col(key) == F.col("k"), "left_anti")
+        ids = ids.select(ids.columns[0]).toDF("__removed")
+    return snapshot.join(ids.distinct(), col(key) == F.col("__removed"), "left_anti")
 
 
 def collapsed(df: DataFrame, key: str, order: str | None = None) -> DataFrame:

@@ -13,6 +13,9 @@ Two kinds of models: by column ({field: condition}, all must hold) and advanced
 Substring tests ignore case, equality does not; negations keep nulls; blank text is null or empty;
 ranges hold both ends, and either may be missing; literals are converted to the column's type, and
 one that cannot be matches nothing.  An unknown type or operator is an error.
+
+A condition may be null where it does not hold, as in any WHERE; conditions on columns as they are
+stored reach the scan.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrygrid.schema import SPARK_TYPES, col
 
@@ -82,7 +86,7 @@ def literal(value: Any, kind: str | None) -> Column:
         return F.lit(value)
     if kind == "integer":  # 2.5 equals no whole number, so it must not be cut to one
         return F.lit(_as_text(value)).try_cast("double")
-    return F.lit(_as_text(value)).try_cast(SPARK_TYPES[kind])
+    return F.lit(_as_text(value)).try_cast(SPARK_TYPES.get(kind, T.TimestampNTZType()))
 
 
 def _as_text(value: Any) -> str:
@@ -97,7 +101,7 @@ def _as_text(value: Any) -> str:
 def is_in(c: Column, kind: str | None, values: Sequence[Any]) -> Column:
     """One of the values, null among them if listed; no values match nothing."""
     some = [v for v in values if v is not None]
-    out = F.coalesce(c.isin(*[literal(v, kind) for v in some]), F.lit(False)) if some else no()
+    out = c.isin(*[literal(v, kind) for v in some]) if some else no()
     return out | c.isNull() if len(some) < len(values) else out
 
 
@@ -105,36 +109,37 @@ def _blank(c: Column, kind: str | None) -> Column:
     return c.isNull() | (c == "") if kind == "string" else c.isNull()
 
 
+def _equal(c: Column, value: Column | None, op: str) -> Column:
+    """equals and notEqual; no value means null, and a null differs from every value."""
+    if value is None:
+        return c.isNull() if op == "equals" else c.isNotNull()
+    return c == value if op == "equals" else (c != value) | c.isNull() | value.isNull()
+
+
 def _text(c: Column, kind: str | None, op: str, value: Any) -> Column:
     if value is not None and not isinstance(value, (str, int, float, bool)):
         raise FilterError(f"a text filter compares with text, not {value!r}")
     if op in ("equals", "notEqual"):
-        same = c.eqNullSafe(literal(value, kind)) if value is None or kind == "string" else F.coalesce(c == literal(value, kind), F.lit(False))
-        return same if op == "equals" else ~same
+        return _equal(c, None if value is None else literal(value, kind), op)
     if value is None:
         raise FilterError(f"{op} needs a text")
     needle, hay = F.lit(_as_text(value).lower()), F.lower(c.cast("string"))
     found = {"contains": F.contains, "notContains": F.contains, "startsWith": F.startswith, "endsWith": F.endswith}[op](hay, needle)
-    found = F.coalesce(found, F.lit(False))
-    return ~found if op == "notContains" else found
+    return ~F.coalesce(found, F.lit(False)) if op == "notContains" else found
 
 
 def _ordered(c: Column, op: str, low: Column | None, high: Column | None) -> Column:
     """Comparison of one column with one literal, or with the ends of a range."""
     if op == "inRange":
-        ends = [c >= low] if low is not None else []
-        ends += [c <= high] if high is not None else []
+        ends = ([c >= low] if low is not None else []) + ([c <= high] if high is not None else [])
         if not ends:
             raise FilterError("inRange needs an end")
-        return F.coalesce(both(ends), F.lit(False))
+        return both(ends)
+    if op in ("equals", "notEqual"):
+        return _equal(c, low, op)
     if low is None:
-        if op in ("equals", "notEqual"):
-            return c.isNull() if op == "equals" else c.isNotNull()
         raise FilterError(f"{op} needs a value")
-    if op in ("equals", "notEqual"):
-        same = F.coalesce(c == low, F.lit(False))
-        return same if op == "equals" else ~same
-    return F.coalesce(_COMPARE[op](c, low), F.lit(False))
+    return _COMPARE[op](c, low)
 
 
 def _number(value: Any) -> Column | None:
@@ -145,16 +150,40 @@ def _number(value: Any) -> Column | None:
     return F.lit(value)
 
 
-def _day(value: Any) -> Column | None:
+def _day(value: Any) -> dt.date | None:
     if value is None:
         return None
     text = value.isoformat() if isinstance(value, (dt.date, dt.datetime)) else value
     try:
-        return F.lit(dt.date.fromisoformat(str(text)[:10]))
+        return dt.date.fromisoformat(str(text)[:10])
     except ValueError as e:
         raise FilterError(f"not a day: {value!r}") from e
 
 
+def _by_day(c: Column, kind: str, op: str, low: dt.date | None, high: dt.date | None) -> Column:
+    """Comparison by whole days.  A time is compared with the edges of days, so that the scan can use it."""
+    if kind not in ("datetime", "datetime_ntz"):
+        day = c if kind == "date" else c.cast("string").substr(1, 10).try_cast("date")
+        return _ordered(day, op, *(None if d is None else F.lit(d) for d in (low, high)))
+    start = lambda d: F.lit(d.isoformat()).cast("timestamp_ntz" if kind == "datetime_ntz" else "timestamp")
+    after = lambda d: start(d + dt.timedelta(1))
+    if op == "inRange":
+        ends = ([c >= start(low)] if low else []) + ([c < after(high)] if high else [])
+        if not ends:
+            raise FilterError("inRange needs an end")
+        return both(ends)
+    if low is None:
+        return _ordered(c, op, None, None)
+    return {
+        "equals": lambda: (c >= start(low)) & (c < after(low)),
+        "notEqual": lambda: (c < start(low)) | (c >= after(low)) | c.isNull(),
+        "lessThan": lambda: c < start(low),
+        "lessThanOrEqual": lambda: c < after(low),
+        "greaterThan": lambda: c >= after(low),
+        "greaterThanOrEqual": lambda: c >= start(low),
+    }[op]()
+
+
 #: The operators that every kind of ordered condition has.
 _ORDERED_OPS = ("equals", "notEqual", "inRange", *_COMPARE)
 
@@ -176,12 +205,9 @@ def condition(field: str, c: Mapping[str, Any], schema: Mapping[str, str], now:
     if kind == "number" and op in _ORDERED_OPS:
         return _ordered(x, op, _number(c.get("filter")), _number(c.get("filterTo")))
     if kind == "date" and op in (*_ORDERED_OPS, *PRESETS):
-        # Days are compared with days; on a date column that is the column itself, so the scan can use it.
-        day = x if of == "date" else F.to_date(x) if of == "datetime" else x.cast("string").substr(1, 10).try_cast("date")
         if op in PRESETS:
-            first, last = preset_days(op, now)
-            return _ordered(day, "inRange", F.lit(first), F.lit(last))
-        return _ordered(day, op, _day(c.get("dateFrom", c.get("filter"))), _day(c.get("dateTo", c.get("filterTo"))))
+            return _by_day(x, of, "inRange", *preset_days(op, now))
+        return _by_day(x, of, op, _day(c.get("dateFrom", c.get("filter"))), _day(c.get("dateTo", c.get("filterTo"))))
     raise FilterError(f"no {kind} filter {op!r}")
 
 
@@ -250,7 +276,7 @@ def quick_filter(text: str | None, columns: Sequence[str]) -> Column | None:
     needle = (text or "").strip().lower()
     if not needle:
         return None
-    return either(F.coalesce(F.contains(F.lower(col(c)), F.lit(needle)), F.lit(False)) for c in columns) if columns else no()
+    return either(F.contains(F.lower(col(c)), F.lit(needle)) for c in columns) if columns else no()
 
 
 def path_filter(fields: Sequence[str], keys: Sequence[Any], schema: Mapping[str, str]) -> Column | None:
@@ -258,7 +284,7 @@ def path_filter(fields: Sequence[str], keys: Sequence[Any], schema: Mapping[str,
     parts = []
     for f, k in zip(fields, keys, strict=False):
         x, of = col(f), schema.get(f)
-        parts.append(x.isNull() if k is None else x.isNull() | (x == "") if k == "" and of == "string" else F.coalesce(x == literal(k, of), F.lit(False)))
+        parts.append(x.isNull() if k is None else x.isNull() | (x == "") if k == "" and of == "string" else x == literal(k, of))
     return both(parts)
 
 

@@ -95,7 +95,7 @@ def detail(ds: Dataset, match: Mapping[str, Any], limit: int | None = DETAIL_LIM
     """Rows whose columns equal the given values, null equal to null."""
     check(ds, list(match))
     types = ds.types
-    where = P.both(col(f).isNull() if v is None else F.coalesce(col(f) == P.literal(v, types.get(f)), F.lit(False)) for f, v in match.items())
+    where = P.both(col(f).isNull() if v is None else col(f) == P.literal(v, types.get(f)) for f, v in match.items())
     out = ds.base if where is None else ds.base.where(where)
     out = out.orderBy(*([col(ds.key)] if ds.key else [col(c) for c in ds.columns]))
     return out if limit is None else out.limit(limit)
