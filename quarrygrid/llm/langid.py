@@ -12,7 +12,6 @@ judged each on its own; with no training text at all every row is `und`; an empt
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import renamed, rows
 
-_LETTER = re.compile(r"[^\W\d_]")
-
-
 def sample(docs: DataFrame, trains: Column, per_language: int = 120, most_languages: int = 200) -> dict[str, list[str]]:
     """Training texts by language: of each, the per_language rows that come first by a hash of doc_id.
 
@@ -80,7 +76,7 @@ def identified(docs: DataFrame, dicts: dict[str, bytes], level: int = 9, narrow:
         for some in rows(batches, 1 << 23):
             best, score, margin = [], [], []
             for _, text in some:
-                if not own or text is None or not _LETTER.search(text):
+                if not own or text is None or not any(map(str.isalpha, text)):
                     best.append("und"), score.append(0.0), margin.append(0.0)
                     continue
                 raw = text.lower().encode()

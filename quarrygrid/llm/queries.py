@@ -70,4 +70,40 @@ def op10_language_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_ego_join, op2_token_frames, op3_shard_interleave, op4_suffix_columns, op5_pack_squares, op6_toxicity_subwords, op7_simhash_anchors, op8_mix_entropy, op9_quality_votes, op10_language_zstd)}
 
-SQL: dict[str, str] = {}
+#: DuckDB SQL of what SQL can express; the others need tokenizers, XXH64, CRC-32, compressors or fitted models.
+SQL: dict[str, str] = {
+    "op1_ego_join": """
+WITH RECURSIVE fit AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op4_suffix_columns": """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS s FROM docs WHERE len(h) >= 200),
+windows AS (SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS w FROM places),
+again AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM windows)
+  WHERE k > 1
+), parted AS (
+  SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run
+  FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM again)
+), runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM parted GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, a, b, substr(h, 2 * before + 1, 2 * (a - before)) AS kept
+  FROM (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs) JOIN docs USING (doc_id)
+), cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(kept, '' ORDER BY a) AS kept FROM pieces GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM docs LEFT JOIN cut USING (doc_id)""",
+}
