@@ -108,10 +108,8 @@ def details_of(master: DataFrame, ds: Dataset, fields: Mapping[str, str], limit:
     rows only, and a window group limit cuts it before the shuffle.
     """
     m = master.select(*[col(c).alias(prefix + c) for c in master.columns])
-    d = ds.base
-    on = [d[f"`{a}`"].eqNullSafe(m[f"`{prefix}{b}`"]) for a, b in fields.items()]
     order = [col(ds.key)] if ds.key else [col(c) for c in ds.columns]
-    few = d.withColumn("detail_no", F.row_number().over(W.partitionBy(*[col(a) for a in fields]).orderBy(*order))).where(F.col("detail_no") <= limit)
+    few = ds.base.withColumn("detail_no", F.row_number().over(W.partitionBy(*[col(a) for a in fields]).orderBy(*order))).where(F.col("detail_no") <= limit)
     on = [few[f"`{a}`"].eqNullSafe(m[f"`{prefix}{b}`"]) for a, b in fields.items()]
     return m.join(few, on, "left")
 
@@ -127,10 +125,9 @@ def query_all(ds: Dataset, request: ViewRequest, now=None, structure: bool = Fal
 
 def group_leaf_rows(ds: Dataset, request: ViewRequest, now=None) -> DataFrame:
     """All leaf rows under a group path, without a limit; the path overrides a filter on its fields."""
-    model = request.filters
-    if P.is_advanced(model):
-        df = filtered(ds, replace(request, quick_text=request.quick_text), now, request.groups)
+    if P.is_advanced(request.filters):
+        df = filtered(ds, request, now, request.groups)
     else:
-        own = P.with_path(model, request.groups, request.keys, ds.types)
+        own = P.with_path(request.filters, request.groups, request.keys, ds.types)
         df = filtered(ds, replace(request, filters=own, keys=()), now)
     return df.select(*[col(c) for c in ds.columns])

@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygrid.functions.aggregates import Context, aggregate, known
+from quarrygrid.functions.aggregates import Context, aggregate
 from quarrygrid.functions.expressions import compile_predicate
-from quarrygrid.model import Dataset, Measure, Page, RequestError, Sort, ViewRequest
+from quarrygrid.model import Dataset, Measure, Page, RequestError, ViewRequest
 from quarrygrid.operators import predicates as P
-from quarrygrid.operators.ordering import AUTO_GROUP, order_by, window
+from quarrygrid.operators.ordering import order_by, window
 from quarrygrid.schema import col
 
 #: Fixed value: what stands between the parts of a pivot column's name.
@@ -149,10 +149,3 @@ def all_levels(ds: Dataset, request: ViewRequest, now=None) -> DataFrame:
     out = df.rollup(*[col(g) for g in groups]).agg(F.grouping_id().alias("bits"), F.count(F.lit(1)).alias(CHILD_COUNT), *measures(ds, request.measures))
     level = F.lit(len(groups)) - F.bit_count("bits")
     return out.withColumn("level", level.cast("int")).drop("bits")
-
-
-def resolved_measure(ds: Dataset, name: str, func: str | None) -> Measure:
-    return Measure(name, known(func))
-
-
-__all__ = ["AUTO_GROUP", "Sort", "all_levels", "compile_view", "filtered", "group_level", "pivoted"]
