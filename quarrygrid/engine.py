@@ -7,14 +7,14 @@ version of a dataset.
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrygrid import schema as S
-from quarrygrid.model import Dataset, Page, RequestError, Transaction, ViewRequest
+from quarrygrid.model import Change, Dataset, Page, RequestError, Transaction, ViewRequest
 from quarrygrid.operators import mutations
 from quarrygrid.operators.predicates import PRESETS
 from quarrygrid.plans import services, views
@@ -31,6 +31,7 @@ class Engine:
         self.spark, self.now, self.compact = spark, now, compact
         self.datasets: dict[str, Dataset] = {}
         self.cache: OrderedDict[str, Any] = OrderedDict()
+        self.listeners: list[Callable[[Change], None]] = []
 
     # --- datasets ---
 
@@ -69,12 +70,15 @@ class Engine:
             frame = mutations.upserted(frame, mutations.patch_frame(self.spark, rows, ds.schema, ds.key), ds.key) if ds.key else ingest.from_rows(self.spark, rows, ds.schema, None)
         return self._changed(ds, frame)
 
-    def _changed(self, ds: Dataset, frame: DataFrame) -> Dataset:
+    def _changed(self, ds: Dataset, frame: DataFrame, keys: Sequence[Any] | None = None) -> Dataset:
+        """A new version.  keys: the rows that changed, where a view can be patched; None asks for a full refresh."""
         new = replace(ds, frame=frame, version=ds.version + 1)
         if self.compact and new.version % self.compact == 0 and self.spark.conf.get("spark.checkpoint.dir", None):
             new.frame = frame.checkpoint()
         self.datasets[ds.name] = new
         self.cache.clear()
+        for listener in list(self.listeners):
+            listener(Change(ds.name, new.version, None if keys is None else list(keys)))
         return new
 
     def register_view(self, name: str, view: str | None = None) -> None:
@@ -91,6 +95,7 @@ class Engine:
     def close(self) -> None:
         self.datasets.clear()
         self.cache.clear()
+        self.listeners.clear()
 
     # --- changes ---
 
@@ -100,7 +105,8 @@ class Engine:
             more = rows if isinstance(rows, DataFrame) else ingest.from_rows(self.spark, rows, ds.schema, None)
             return self._changed(ds, ds.frame.unionByName(S.project(more, ds.schema, None), allowMissingColumns=True))
         patches = mutations.as_patches(rows) if isinstance(rows, DataFrame) else mutations.patch_frame(self.spark, rows, ds.schema, ds.key)
-        return self._changed(ds, mutations.upserted(ds.frame, patches, ds.key))
+        keys = None if isinstance(rows, DataFrame) else mutations.changed_keys({"update": rows}, ds.key)[0]
+        return self._changed(ds, mutations.upserted(ds.frame, patches, ds.key), keys)
 
     def remove(self, name: str, ids: Sequence[Any] | DataFrame) -> Dataset:
         ds = self.dataset(name)
@@ -110,7 +116,8 @@ class Engine:
 
     def apply(self, name: str, tx: Transaction | Mapping[str, Any]) -> Dataset:
         ds = self.dataset(name)
-        return self._changed(ds, mutations.apply_transaction(ds.frame, tx, ds.schema, self._key(ds)))
+        keys, full = mutations.changed_keys(tx, self._key(ds))
+        return self._changed(ds, mutations.apply_transaction(ds.frame, tx, ds.schema, ds.key), None if full else keys)
 
     def apply_all(self, name: str, transactions: Sequence[Transaction | Mapping[str, Any]]) -> Dataset:
         """A burst of transactions, in order, in as few steps as that allows."""
@@ -129,6 +136,22 @@ class Engine:
             raise RequestError(f"{ds.name} has no key")
         return ds.key
 
+    def subscribe(self, listener: Callable[[Change], None]) -> Callable[[], None]:
+        """Calls listener after every change; returns what ends that."""
+        self.listeners.append(listener)
+        return lambda: self.listeners.remove(listener) if listener in self.listeners else None
+
+    def watch(self, request: ViewRequest | Mapping[str, Any], use: Callable[[Page], None]) -> Callable[[], None]:
+        """Hands a fresh page of the request to `use`, now and after every change of its dataset."""
+        r = ViewRequest.of(request)
+        use(self.page(r))
+        return self.subscribe(lambda change: use(self.page(r)) if change.dataset == r.dataset else None)
+
+    def is_current(self, page: Page) -> bool:
+        """Whether the page is of the newest version of its dataset; an outdated one is to be dropped."""
+        ds = self.datasets.get(page.request.dataset)
+        return ds is not None and ds.version == page.version
+
     # --- queries ---
 
     def page(self, request: ViewRequest | Mapping[str, Any]) -> Page:

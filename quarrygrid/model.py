@@ -141,6 +141,7 @@ class Page:
     view: DataFrame
     request: ViewRequest
     pivot_fields: list[str] = field(default_factory=list)
+    version: int = 0
 
     @property
     def rows(self) -> list[dict[str, Any]]:
@@ -151,6 +152,15 @@ class Page:
         return self.view.count()
 
 
+@dataclass(frozen=True)
+class Change:
+    """A dataset has a new version; keys of the changed rows, or None if everything is to be read again."""
+
+    dataset: str
+    version: int
+    keys: list[Any] | None
+
+
 @dataclass(frozen=True)
 class Transaction:
     """Removes come first, then added and updated rows; what a row does not hold stays as it is."""

@@ -137,7 +137,7 @@ def compile_view(ds: Dataset, request: ViewRequest, now=None) -> Page:
         view = tree_leaf(view, ds.key) if request.tree else view
         ties = [ds.key] if ds.key else ds.columns
     order = order_by(request.sort, view.columns, ties, ds.schema, request.abs_sort, group)
-    return Page(window(view, order, request.start, request.end), view, request, fields)
+    return Page(window(view, order, request.start, request.end), view, request, fields, ds.version)
 
 
 def all_levels(ds: Dataset, request: ViewRequest, now=None) -> DataFrame:

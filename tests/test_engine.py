@@ -196,6 +196,21 @@ def test_changed_keys():
     assert M.changed_keys({"remove": [1]}, "id") == ([], True) and M.changed_keys({}, "id") == ([], True)
 
 
+def test_listeners_and_versions(e):
+    seen, pages = [], []
+    stop = e.subscribe(lambda c: seen.append((c.dataset, c.keys)))
+    end = e.watch({"rowGroupCols": by("desk"), "valueCols": of("sum pnl")}, pages.append)
+    assert e.is_current(pages[0])
+    e.apply("main", {"update": [{"id": "a", "pnl": 1.0}]})
+    assert not e.is_current(pages[0]) and e.is_current(pages[1])
+    e.apply("main", {"remove": ["b"]})
+    e.upsert("main", [{"id": "z"}])
+    end(), stop(), stop()
+    e.remove("main", ["z"])
+    assert seen == [("main", ["a"]), ("main", None), ("main", ["z"])] and len(pages) == 4
+    assert [{r["desk"]: r["pnl"] for r in p.rows}["FX"] for p in pages[:3]] == [-30.0, -39.0, 1.0]
+
+
 def test_load_collapses_equal_keys_and_appends_without_key(spark, e):
     e.load("main", [{"id": "x", "pnl": 1.0, "desk": "A"}, {"id": "x", "pnl": 2.0}])
     assert rows(e.view({}))[0] | {} == {"id": "x", "pnl": 2.0, "desk": "A", "ccy": None, "n": None, "quantity": None, "bps": None}
