@@ -26,16 +26,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, renamed, rows, saved, unpacked
+from .common import carried, parts_for, renamed, rows, saved, unpacked
 from .components import components
 
-#: Every position of the Hamming code by its bit of the syndrome: 1 to 31, bit i-1 of the half is position i.
-_CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> k & 1) for k in range(5)]
-
-
 def fingerprint_bits(words: list[bytes], size: int) -> int:
     """The 64-bit fingerprint of a word sequence."""
     from xxhash import xxh64_intdigest as hashed
@@ -71,35 +67,50 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return own.mapInArrow(make, "doc_id long, text_hash long, fp long")
 
 
-def _anchors(half: Column) -> Column:
-    """The anchors of a half within 2 of it: structs of anchor and home (is it the nearest one?)."""
-    x = half.bitwiseAND(F.lit((1 << 31) - 1))
-    syndrome = F.lit(0)
-    for k, check in enumerate(_CHECKS):
-        syndrome = syndrome + F.shiftleft(F.bit_count(x.bitwiseAND(F.lit(check))).bitwiseAND(F.lit(1)), k)
-    bit = lambda i: F.when(i > 0, F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2.0), F.greatest(i - 1, F.lit(0))).cast("long")
-    home = x.bitwiseXOR(bit(syndrome))
-    others = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(31)), lambda i: (syndrome > 0) & (i < i.bitwiseXOR(syndrome)) & (i != syndrome)),
-        lambda i: F.struct(x.bitwiseXOR(bit(i)).bitwiseXOR(bit(i.bitwiseXOR(syndrome))).alias("anchor"), F.lit(False).alias("home")),
-    )
-    smaller = F.filter(others, lambda s: s["anchor"] < home)
-    return F.concat(F.array(F.struct(home.alias("anchor"), F.lit(True).alias("home"))), smaller)
-
-
-def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
-    """Pairs a < b of the distinct fingerprints (column fp) that differ in `bits` bits or fewer, at most 2."""
+def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, is it the home) of halves (unsigned 32-bit): homes, and smaller anchors within 2.
+
+    Bit i - 1 is position i of the Hamming code; the exclusive or of the set positions is the
+    syndrome, which is the position where a half departs from its home.
+    """
+    x = half & np.uint32((1 << 31) - 1)
+    syndrome = np.zeros(len(x), np.uint32)
+    for i in range(1, 32):
+        syndrome ^= (x >> np.uint32(i - 1) & np.uint32(1)) * np.uint32(i)
+    bit = np.append(np.uint32(0), np.uint32(1) << np.arange(31, dtype=np.uint32))
+    home = x ^ bit[syndrome]
+    row, at, own = [np.arange(len(x))], [home], [np.ones(len(x), bool)]
+    for i in range(1, 32):
+        j = syndrome ^ np.uint32(i)
+        other = x ^ bit[i] ^ bit[j]
+        hit = np.flatnonzero((syndrome > 0) & (i < j) & (other < home))
+        row.append(hit), at.append(other[hit]), own.append(np.zeros(len(hit), bool))
+    return np.concatenate(row), np.concatenate(at), np.concatenate(own)
+
+
+def links(distinct: DataFrame, bits: int = 2, each: int = 20_000) -> DataFrame:
+    """Pairs a < b of the distinct fingerprints (column fp) that differ in `bits` bits or fewer, at most 2.
+
+    each: fingerprints that a task places, about.
+    """
     if not 0 <= bits <= 2:
         raise ValueError("the covering search is made for up to two differing bits")
-    halves = []
-    for k in range(2):
-        half = F.shiftrightunsigned("fp", 32) if k else F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-        halves.append(distinct.select("fp", F.lit(k).alias("half"), F.explode(_anchors(half)).alias("at")))
-    placed = halves[0].unionByName(halves[1]).select("fp", "half", "at.anchor", "at.home")
-    at_home = placed.where("home").select(F.col("fp").alias("a"), "half", "anchor")
-    all_here = placed.select(F.col("fp").alias("b"), "half", "anchor", "home")
+
+    def place(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            for half, x in enumerate(fp.view(np.uint32).reshape(-1, 2).T):
+                row, at, own = anchors(np.ascontiguousarray(x))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[row]), pa.array(at.astype(np.int64) << 1 | half), pa.array(own)], ["fp", "anchor", "home"])
+
+    spread = distinct.select("fp").repartition(parts_for(distinct.count(), each), "fp")
+    placed = saved(spread.mapInArrow(place, "fp long, anchor long, home boolean"), "anchors")
+    at_home = placed.where("home").select(F.col("fp").alias("a"), "anchor")
+    all_here = placed.select(F.col("fp").alias("b"), "anchor", "home")
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits) & (~F.col("home") | (F.col("a") < F.col("b")))
-    pairs = at_home.join(all_here, ["half", "anchor"]).where(near)
+    pairs = at_home.join(all_here, "anchor").where(near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -117,9 +128,12 @@ def representatives(docs: DataFrame, bits: int = 2, size: int = 3) -> DataFrame:
 
     Texts move once, to meet what goes; equal rows are looked for only where keys say there are some.
     """
-    own = saved(near_duplicates(docs, bits, size).select("doc_id", "text_hash", "root"), "classes")
-    first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
-    go = own.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    own = saved(near_duplicates(docs, bits, size), "classes")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Only where a doc_id is repeated can several rows be first; the smallest text hash is, then.
+    several = own.where(first).groupBy("root").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = own.where(first).join(several, "root").where("text_hash != least")
+    go = own.where(~first).select("doc_id", "text_hash").unionByName(again.select("doc_id", "text_hash"))
     go = go.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_hash"))
     rows_ = carried(docs, ["doc_id", "text"]).withColumn("hash", F.xxhash64("text"))
     stay = rows_.join(go, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("hash") == F.col("_hash")), "left_anti")
