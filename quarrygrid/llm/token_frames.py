@@ -63,7 +63,7 @@ def _local(path: str) -> str | None:
 class TokenFileWriter:
     """Writes one file; it appears at `path` on close()."""
 
-    def __init__(self, path: str, level: int = 3):
+    def __init__(self, path: str, level: int = 1):
         import zstandard
 
         self.path, self.local = path, _local(path)
@@ -141,7 +141,7 @@ class TokenFile:
         self.file.close()
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, level: int = 3, batch_bytes: int = 1 << 21) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, level: int = 1, batch_bytes: int = 1 << 21) -> DataFrame:
     """Writes docs (doc_id, text) to `folder` and returns its manifest, one row a file in order.
 
     One exchange by ranges of doc_id moves each text once; more machines mean more and smaller

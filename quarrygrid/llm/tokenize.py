@@ -29,6 +29,8 @@ _BLANKS = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *
 #: word-level pattern over them; the space stands for the end of a part.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \u0085\u00a0"
 _LATIN_WORD = re.compile(rf" |'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+#: Latin-1 letters, then ASCII marks that do not begin with an apostrophe: two tokens of the byte-level pattern.
+_WORD_AND_MARKS = re.compile(rf"([{_L}]+)([!-&(-/:-@\[-`{{-~][!-/:-@\[-`{{-~]*)").fullmatch
 _SURE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -56,16 +58,19 @@ class _Flat:
         self.n = np.zeros(1 << 14, np.int64)
         self.parts = self.used = 0
 
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        k, m = len(lengths), len(ids)
+    def add(self, ids: np.ndarray, lengths: np.ndarray, numbers: np.ndarray | None = None) -> None:
+        """Parts with these ids; they take the next numbers, or those given."""
+        m = len(ids)
+        numbers = np.arange(self.parts, self.parts + len(lengths)) if numbers is None else numbers
+        top = int(numbers.max()) + 1 if len(numbers) else 0
         while self.used + m > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        while self.parts + k > len(self.n):
+        while top > len(self.n):
             self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
         self.ids[self.used : self.used + m] = ids
-        self.n[self.parts : self.parts + k] = lengths
-        self.at[self.parts : self.parts + k] = self.used + np.cumsum(lengths) - lengths
-        self.parts, self.used = self.parts + k, self.used + m
+        self.n[numbers] = lengths
+        self.at[numbers] = self.used + np.cumsum(lengths) - lengths
+        self.parts, self.used = max(self.parts, top), self.used + m
 
     def take(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.n[parts]
@@ -139,12 +144,31 @@ class MemoEncoder:
         return ["  " + first, *rest]
 
     def learn(self) -> None:
+        if self.byte_level:
+            self.learn_bytes()
+            return
         new, self.parts.new = self.parts.new, []
         for k in range(0, len(new), 4000):
-            some = new[k : k + 4000]
-            if self.byte_level:
-                some = [part[2:] if part.startswith("  ") else " " + part for part in some]
-            self.part_ids.add(*self.together(some))
+            self.part_ids.add(*self.together(new[k : k + 4000]))
+
+    def learn_bytes(self) -> None:
+        """A word with marks behind it is put together from the word's ids and the marks' ids."""
+        new, first = self.parts.new, self.parts.next - len(self.parts.new)
+        whole, made, pairs = [], [], []
+        for k, part in enumerate(new):  # new grows as words and marks are looked up, which are whole
+            if m := _WORD_AND_MARKS(part):
+                made.append(first + k)
+                pairs += (self.parts[m[1]], self.parts["  " + m[2]])
+            else:
+                whole.append(k)
+        self.parts.new = []
+        for k in range(0, len(whole), 4000):
+            numbers = whole[k : k + 4000]
+            ids, lengths = self.together([part[2:] if (part := new[n]).startswith("  ") else " " + part for n in numbers])
+            self.part_ids.add(ids, lengths, first + np.array(numbers))
+        if made:
+            ids, lengths = self.part_ids.take(np.array(pairs))
+            self.part_ids.add(ids, lengths.reshape(-1, 2).sum(axis=1), np.array(made))
 
     def together(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the parts, and how many each has."""

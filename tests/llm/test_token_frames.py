@@ -8,7 +8,7 @@ from quarrygrid.llm import token_frames as T
 from quarrygrid.llm.common import tokenizer_path, work_dir
 from quarrygrid.llm.tokenize import MemoEncoder, load
 
-ODD = ["", " ", "  a  b ", "a\n b", "\n \n", "it's 12²3 don't  x y  z", "ΑΣ σ Σ", "é äb", "日本語 テスト 1２３", "<|endoftext|> a<|endoftext|>", "</w> a </w>", "x\x1cy \x1c z", "İ I ı ǅ", "a\u0085b c", "tab\t x \ty", "ﬁ ﬁ", "µ ß ª", "é e ́x", "a" * 5000]
+ODD = ["", " ", "  a  b ", "a\n b", "\n \n", "it's 12²3 don't  x y  z", "ΑΣ σ Σ", "é äb", "日本語 テスト 1２３", "<|endoftext|> a<|endoftext|>", "</w> a </w>", "x\x1cy \x1c z", "İ I ı ǅ", "a\u0085b c", "tab\t x \ty", "ﬁ ﬁ", "µ ß ª", "é e ́x", "a" * 5000, "x foo,bar baz's. x'. word.'s word*** über,. a-b c_d_ e' f'' don't. ªµº! z!!\n w|", "a word. a word, a word; word. word,"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
