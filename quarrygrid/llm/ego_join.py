@@ -33,6 +33,8 @@ from .components import components, forest
 
 #: Slack of the skipping test, for the rounding of distances.
 SLACK = 1e-6
+#: A grid cell is no narrower, so that a unit vector's coordinate has a bounded number of cells.
+LEAST_SIDE = 0.05
 
 
 def _matrix(column) -> np.ndarray:
@@ -126,6 +128,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, leading: int =
     leading: how many principal dimensions make the grid; interval: vectors of a block, about.
     """
     eps = math.sqrt(max(0.0, 2 - 2 * threshold))
+    side = max(eps, LEAST_SIDE)
     own = renamed(vectors, ["vec_id", "embedding", "label"]).withColumn("v", F.col("embedding").cast("array<double>"))
     finite = lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) != float("inf"))
     fit = F.coalesce(F.col("label").isNotNull() & F.forall("v", finite) & F.exists("v", lambda y: y != 0), F.lit(False))
@@ -146,7 +149,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, leading: int =
             for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
                 x = _matrix(batch.column("v").take(pa.array(at)))
-                grid = np.floor((x / np.linalg.norm(x, axis=1, keepdims=True)) @ along[d] / eps) if eps else np.zeros((len(at), 1))
+                grid = np.floor((x / np.linalg.norm(x, axis=1, keepdims=True)) @ along[d] / side)
                 # Cells as text that sorts as the numbers do: lexicographic order of the cells.
                 cell[at] = ["".join(f"{int(c) + 500:03d}" for c in row) for row in grid]
             yield batch.append_column("cell", pa.array(cell, pa.string()))
@@ -174,12 +177,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, leading: int =
 
     blocks = placed.select("label", "d", "cell", "key", "copies", "v", "block").groupBy("label", "d", "block").applyInArrow(boxed, f"label {label_type}, d int, block long, low array<double>, high array<double>, keys array<long>, copies array<long>, data binary")
     blocks = saved(blocks, "blocks")
-    # Boxes are small rows, one a block; of their pairs only the near ones, each once, leave the join.
-    left = blocks.select("label", "d", F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    right = blocks.select("label", "d", F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    # Boxes are small rows, one a block.  They meet in the cells of the first two dimensions that both
+    # reach, one of them widened by a cell; a pair counts in the first cell they share, and only near
+    # pairs leave the join.
+    def reach(name: str, wider: int) -> DataFrame:
+        cell = lambda c, k, more: F.floor((F.coalesce(F.get(c, F.lit(k)), F.lit(0.0)) + more) / side).cast("int")
+        out = blocks.select("label", "d", F.col("block").alias(name), F.col("low").alias(f"l{name}"), F.col("high").alias(f"h{name}"))
+        for k in range(2):
+            out = out.withColumn(f"from{k}{name}", cell(f"l{name}", k, -SLACK) - wider).withColumn(f"c{k}", F.explode(F.sequence(F.col(f"from{k}{name}"), cell(f"h{name}", k, SLACK) + wider)))
+        return out
+
     gap = F.zip_with(F.arrays_zip("la", "ha"), F.arrays_zip("lb", "hb"), lambda s, t: F.greatest(F.lit(0.0), s["la"] - t["hb"], t["lb"] - s["ha"]))
     apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g)
-    pairs = left.join(right, ["label", "d"]).where((F.col("a") <= F.col("b")) & (apart <= (eps + SLACK) ** 2)).select("label", "d", "a", "b")
+    once = (F.col("c0") == F.greatest("from0a", "from0b")) & (F.col("c1") == F.greatest("from1a", "from1b"))
+    pairs = reach("a", 0).join(reach("b", 1), ["label", "d", "c0", "c1"]).where((F.col("a") <= F.col("b")) & once & (apart <= (eps + SLACK) ** 2)).select("label", "d", "a", "b")
     one = blocks.select("label", "d", F.col("block").alias("a"), F.col("keys").alias("ka"), F.col("copies").alias("ca"), F.col("data").alias("xa"))
     two = blocks.select("label", "d", F.col("block").alias("b"), F.col("keys").alias("kb"), F.col("copies").alias("cb"), F.col("data").alias("xb"))
     met = saved(pairs.repartition(F.xxhash64("label", "d", "a", "b")), "block-pairs").join(one, ["label", "d", "a"]).join(two, ["label", "d", "b"]).select("d", "a", "b", "ka", "ca", "xa", "kb", "cb", "xb")
