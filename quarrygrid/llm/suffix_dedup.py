@@ -135,8 +135,10 @@ def classes(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def marks(c: dict[str, np.ndarray], at: np.ndarray, kind) -> list[np.ndarray]:
-    """Columns of MARKS for the places `at`."""
-    return [c["ord"][at], c["s0"][at].astype(np.int64), c["nw"][at].astype(np.int32), c["off"][at].astype(np.int32), c["key"][at].view(np.int64), np.broadcast_to(np.int32(kind), len(at)) if np.isscalar(kind) else kind.astype(np.int32)]
+    """Columns of MARKS for the places `at`; what is repeated needs no gram any more."""
+    kind = np.broadcast_to(np.int32(kind), len(at)) if np.isscalar(kind) else kind.astype(np.int32)
+    more = kind != REPEATED
+    return [c["ord"][at], c["s0"][at].astype(np.int64), c["nw"][at].astype(np.int32), c["off"][at].astype(np.int32) * more, c["key"][at].view(np.int64) * more, kind]
 
 
 def _packed(c: dict[str, np.ndarray], at: np.ndarray) -> bytes:
@@ -279,9 +281,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """docs: ord, text.  What is touched (ord, text, runs), and further windows (ord, s0, nw) found later.
+    """docs: ord, text.  What is touched (ord, n_bytes, text, marks), and further windows (ord, s0, nw) found later.
 
-    runs: s0 and nw of windows that are repeated for certain.
+    Of a text whose every window is marked as repeated, only the number of bytes is kept.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = parts_for(total, 1 << 24)
@@ -298,7 +300,10 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
 
     found = _settle(docs.select("ord", "text").mapInArrow(first_pass, "bucket long, data binary"), True)
     by_doc = found.groupBy("ord").agg(F.collect_list(F.struct("s0", "nw", "off", "key", "kind")).alias("marks"))
-    touched = saved(docs.join(by_doc, "ord"), "touched")
+    known = F.aggregate("marks", F.lit(0).cast("long"), lambda n, x: n + F.when(x["kind"] == REPEATED, x["nw"]).otherwise(0))
+    part = known < F.octet_length("text") - (length - 1)
+    touched = docs.join(by_doc, "ord").select("ord", F.octet_length("text").cast("long").alias("n_bytes"), F.when(part, F.col("text")).alias("text"), F.when(part, F.col("marks")).alias("marks"))
+    touched = saved(touched, "touched")
 
     def second_pass(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -372,9 +377,9 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     touched, more = repeated_windows(docs, length)
     more = more.groupBy("ord").agg(F.collect_list(F.struct("s0", "nw")).alias("more"))
     runs = F.transform(F.filter("marks", lambda x: x["kind"] == REPEATED), lambda x: F.struct(x["s0"].alias("s0"), x["nw"].alias("nw")))
-    both = touched.select("ord", "text", runs.alias("runs")).join(more, "ord", "left").where("size(runs) > 0 or more is not null")
-    both = both.select("ord", "text", F.concat("runs", F.coalesce("more", F.array().cast("array<struct<s0:bigint,nw:int>>"))).alias("runs"))
-    both = both.select("ord", "text", F.transform("runs", lambda x: x["s0"]).alias("s0"), F.transform("runs", lambda x: x["nw"].cast("long")).alias("nw"))
+    both = touched.select("ord", "n_bytes", "text", runs.alias("runs")).join(more, "ord", "left").where("text is null or size(runs) > 0 or more is not null")
+    both = both.select("ord", "n_bytes", "text", F.concat("runs", F.coalesce("more", F.array().cast("array<struct<s0:bigint,nw:int>>"))).alias("runs"))
+    both = both.select("ord", "n_bytes", "text", F.transform("runs", lambda x: x["s0"]).alias("s0"), F.transform("runs", lambda x: x["nw"].cast("long")).alias("nw"))
 
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -382,7 +387,10 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
         for batch in batches:
             out = []
             s0s, nws = batch.column("s0"), batch.column("nw")
-            for k, (o, text) in enumerate(zip(batch.column("ord").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            for k, (o, n_bytes, text) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("ord", "n_bytes", "text")), strict=True)):
+                if text is None:
+                    out.append((o, [0], [n_bytes], n_bytes, hashlib.sha256(b"").hexdigest()))
+                    continue
                 raw = text.encode()
                 a, b = (x.tolist() for x in covered(len(raw), s0s[k].values.to_numpy(), nws[k].values.to_numpy(), length))
                 kept = cut(raw, a, b)
