@@ -47,10 +47,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def slices(batches: Iterator, length: int = 256) -> Iterator:
+    """Arrow batches cut short, so that few rows at a time become Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, length):
+            yield batch.slice(k, length)
+
+
 def rows(batches: Iterator, size: int = 1 << 25) -> Iterator[list[tuple]]:
-    """Rows of Arrow batches as tuples, in lists of bounded bytes of their first binary or string column."""
+    """Rows of Arrow batches as tuples, in lists whose texts have about `size` characters at most."""
     some, held = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             some.append(row)
             held += sum(len(x) for x in row if isinstance(x, (str, bytes))) + 64

@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         import xxhash
         from pyspark import TaskContext
 
-        tokens, nth = encoder(tokenizer, 700_000), TaskContext.get().partitionId() << 33
+        tokens, nth = encoder(tokenizer, 500_000), TaskContext.get().partitionId() << 33
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for some in rows(batches, 1 << 21):
             out = []

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, renamed, saved, unpacked
+from .common import carried, renamed, saved, slices, unpacked
 
 #: Fixed values of the contract.
 SYMBOLS, BLANKS, WINDOW, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", b" \t\n\v\f\r", 8, 20, 30
@@ -72,7 +72,7 @@ def measures(docs: DataFrame) -> DataFrame:
     def make(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             found = np.array([measured(text) for text in batch.column("text").to_pylist()], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, np.ascontiguousarray(found.T))], [*kept, *names])
 

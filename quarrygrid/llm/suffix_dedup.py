@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, parts_for, renamed, rows, saved, unpacked
+from .common import carried, parts_for, renamed, rows, saved, slices, unpacked
 
 GRAM = 32
 #: Bytes hashed at a time, and of a batch whose equal segments meet before anything is sent.
@@ -308,7 +308,7 @@ def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame
     def second_pass(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             narrow: list[tuple] = []
             wide: list[tuple] = []
             for o, text, own in zip(*(batch.column(n).to_pylist() for n in ("ord", "text", "marks")), strict=True):
@@ -384,7 +384,7 @@ def spans(docs: DataFrame, length: int = 100) -> DataFrame:
     def made(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             out = []
             s0s, nws = batch.column("s0"), batch.column("nw")
             for k, (o, n_bytes, text) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("ord", "n_bytes", "text")), strict=True)):
@@ -418,7 +418,7 @@ def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
     def shorten(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             texts = [t if a is None else cut(t.encode(), a, b).decode(errors="ignore") for t, a, b in zip(*(batch.column(n).to_pylist() for n in ("text", "starts", "ends")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "kept"])
 
