@@ -124,11 +124,15 @@ def near_duplicates(docs: DataFrame, bits: int = 2, size: int = 3) -> DataFrame:
 
 
 def representatives(docs: DataFrame, bits: int = 2, size: int = 3) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id, once.
+    """The rows of docs that stay: of each component the one with the smallest doc_id, once."""
+    return first_of_each(docs, saved(near_duplicates(docs, bits, size), "classes"))
+
+
+def first_of_each(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows of docs that are first in their component; own: doc_id, text_hash, root and component_id of every row.
 
     Texts move once, to meet what goes; equal rows are looked for only where keys say there are some.
     """
-    own = saved(near_duplicates(docs, bits, size), "classes")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     # Only where a doc_id is repeated can several rows be first; the smallest text hash is, then.
     several = own.where(first).groupBy("root").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
