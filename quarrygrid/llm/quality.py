@@ -15,6 +15,8 @@ one without patterns to learn from, the starting accuracies hold.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -27,9 +29,9 @@ from .common import carried, renamed, saved, slices, unpacked
 
 #: Fixed values of the contract.
 SYMBOLS, BLANKS, WINDOW, LEAST_WORDS, MOST_REPEATED = b"#*$%&|<>", b" \t\n\v\f\r", 8, 20, 30
-_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+_UPPER, _LOWER, _ASCII = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128))
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_lower long, n_marks long, n_ends long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_lower long, n_marks long, n_ends long, n_letters long"
 
 
 def repeated(words: Sequence, size: int = WINDOW) -> int:
@@ -54,6 +56,12 @@ def repeated(words: Sequence, size: int = WINDOW) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
+def letters_beyond_ascii(raw: bytes) -> int:
+    """Letters of any script outside ASCII, and the marks that scripts write onto them (categories L and M)."""
+    rest = raw.translate(None, _ASCII).decode()
+    return sum(n for c, n in Counter(rest).items() if unicodedata.category(c)[0] in "LM")
+
+
 def measured(text: str | None) -> tuple[int, ...]:
     """The columns of MEASURES of one text."""
     raw = (text or "").encode()
@@ -61,7 +69,8 @@ def measured(text: str | None) -> tuple[int, ...]:
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip(BLANKS)]
     ends = sum(x.rstrip(BLANKS).endswith((b".", b"!", b"?")) for x in lines)
-    return len(words), len(text or "") - without(BLANKS), without(SYMBOLS), len(lines) - len(set(lines)), repeated(words), len(lines), without(_UPPER), without(_LOWER), raw.count(b"!"), ends
+    upper, lower = without(_UPPER), without(_LOWER)
+    return len(words), len(text or "") - without(BLANKS), without(SYMBOLS), len(lines) - len(set(lines)), repeated(words), len(lines), upper, lower, raw.count(b"!"), ends, upper + lower + letters_beyond_ascii(raw)
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ def rules() -> list[Rule]:
         Rule("repeated_words", 100 * c("n_repeat_words") > 30 * c("n_words"), 100 * c("n_repeat_words") <= 10 * c("n_words")),
         Rule("capitals", 100 * c("n_upper") > 50 * (c("n_upper") + c("n_lower")), 100 * c("n_upper") <= 15 * (c("n_upper") + c("n_lower"))),
         Rule("exclamations", 100 * c("n_marks") > 20 * c("n_words"), 100 * c("n_marks") <= 3 * c("n_words")),
-        Rule("letters", 100 * (c("n_upper") + c("n_lower")) < 50 * c("word_chars"), 100 * (c("n_upper") + c("n_lower")) >= 75 * c("word_chars")),
+        Rule("letters", 100 * c("n_letters") < 50 * c("word_chars"), 100 * c("n_letters") >= 75 * c("word_chars")),
         Rule("line_ends", (10 * c("n_ends") < c("n_lines")) & (c("n_lines") > 1), 2 * c("n_ends") >= c("n_lines")),
     ]
 

@@ -54,3 +54,22 @@ def test_model_finds_the_rates():
     assert abs(model.share[0] - 0.85) < 0.04
     assert ((model.posterior(votes) >= 0.5) == good).mean() > 0.95
     assert quality.LabelModel(3).fit(np.empty((0, 3), int), np.empty(0)).posterior(np.array([[1, 1, 1], [-1, 1, 1]])).round().tolist() == [1, 0]
+
+
+def test_clean_texts_of_other_scripts_are_kept(spark):
+    """A third of the rows in scripts other than Latin; digits alone still go."""
+    words = {
+        "en": "the old house stands near river and people walk there every evening with their dogs",
+        "ru": "старый дом стоит у реки и люди гуляют там каждый вечер со своими собаками",
+        "el": "το παλιό σπίτι στέκεται κοντά στο ποτάμι και οι άνθρωποι περπατούν εκεί κάθε βράδυ",
+        "ar": "البيت القديم يقع قرب النهر والناس يمشون هناك كل مساء مع كلابهم الصغيرة",
+        "hi": "पुराना घर नदी के पास है और लोग वहाँ हर शाम अपने कुत्तों के साथ घूमते हैं",
+        "my": "အိမ်ဟောင်း မြစ်နား တွင် ရှိသည် လူများ ညနေတိုင်း ခွေးများနှင့် လမ်းလျှောက်ကြသည် နေ့စဉ်",
+        "no": "1234 5678 9012 3456 7890 1122 3344 5566 7788 9900",
+    }
+    rng = np.random.default_rng(1)
+    langs = ["en"] * 300 + [k for k in words if k not in ("en", "no")] * 30 + ["no"] * 60
+    rows = [(i, " ".join(rng.choice(words[k].split(), 60)) + ".", k) for i, k in enumerate(langs)]
+    got = quality.judged(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    kept = {k: np.mean([r.kept for r in got if langs[r.doc_id] == k and not r.base_failed]) for k in words}
+    assert kept.pop("no") == 0 and set(kept.values()) == {1}
