@@ -102,6 +102,11 @@ def leaf_projection(spark, sf_dir):
     return orders(spark, sf_dir).view({"filterModel": {"o_custkey": {"filterType": "number", "type": "lessThanOrEqual", "filter": 20}}})
 
 
+@query("SELECT o_custkey, o_orderdate, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM orders")
+def leaf_projection_all(spark, sf_dir):
+    return orders(spark, sf_dir).view({})
+
+
 # --- filters ---
 
 
@@ -289,6 +294,12 @@ def calc_functions(spark, sf_dir):
     return orders(spark, sf_dir, calc=calc).view({"filterModel": {"o_custkey": {"filterType": "number", "type": "lessThan", "filter": 50}}}).select("o_orderkey", "y", "hot", "p")
 
 
+@query("SELECT o_orderkey, year(o_orderdate) AS y, regexp_matches(o_orderpriority, '^[12]') AS hot, substring(o_orderpriority, 1, 1) AS p FROM orders")
+def calc_functions_all(spark, sf_dir):
+    calc = {"y": 'year("o_orderdate")', "hot": """match("o_orderpriority", '^[12]')""", "p": 'substring("o_orderpriority", 1, 1)'}
+    return orders(spark, sf_dir, calc=calc).view({}).select("o_orderkey", "y", "hot", "p")
+
+
 # --- aggregates ---
 
 
@@ -463,16 +474,25 @@ def upsert_latest(spark, sf_dir):
     return mutations.upserted(start, mutations.as_patches(df, "event_id"), "user_id")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE NOT o_orderkey % 7 = 0 UNION ALL SELECT -c_custkey, 'N', c_acctbal, NULL FROM customer WHERE c_custkey <= 50")
-def transaction_apply(spark, sf_dir):
+def _transaction(spark, sf_dir, customers: DataFrame) -> DataFrame:
     base = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     gone = base.where("o_orderkey % 7 = 0").select("o_orderkey")
     names = lambda *x: F.array(*map(F.lit, x))
     update = base.where("o_orderkey % 3 = 0 and o_orderkey % 7 != 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice"), names("o_orderkey", "o_orderstatus", "o_totalprice").alias(mutations.PRESENT), F.lit(2).cast("long").alias(mutations.SEQ))
-    add = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 50").select((-F.col("c_custkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice"), names("o_orderkey", "o_orderstatus", "o_totalprice").alias(mutations.PRESENT), F.lit(1).cast("long").alias(mutations.SEQ))
+    add = customers.select((-F.col("c_custkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice"), names("o_orderkey", "o_orderstatus", "o_totalprice").alias(mutations.PRESENT), F.lit(1).cast("long").alias(mutations.SEQ))
     return mutations.upserted(mutations.removed(base, gone, "o_orderkey"), add.unionByName(update), "o_orderkey")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE NOT o_orderkey % 7 = 0 UNION ALL SELECT -c_custkey, 'N', c_acctbal, NULL FROM customer WHERE c_custkey <= 50")
+def transaction_apply(spark, sf_dir):
+    return _transaction(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 50"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE NOT o_orderkey % 7 = 0 UNION ALL SELECT -c_custkey, 'N', c_acctbal, NULL FROM customer")
+def transaction_apply_all(spark, sf_dir):
+    return _transaction(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def events_tumbling(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet")
