@@ -441,6 +441,12 @@ def series(spark, sf_dir):
     return rounded(orders(spark, sf_dir).series("o_custkey", {"filterModel": {"o_orderstatus": {"filterType": "text", "type": "equals", "filter": "F"}}, "valueCols": of("sum o_totalprice")}))
 
 
+@query("SELECT o_custkey AS category, round(sum(o_totalprice), 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def series_all(spark, sf_dir):
+    r = {"filterModel": {"o_orderstatus": {"filterType": "text", "type": "equals", "filter": "F"}}, "valueCols": of("sum o_totalprice")}
+    return rounded(orders(spark, sf_dir).series("o_custkey", r, limit=None))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 500")
 def detail_lookup(spark, sf_dir):
     return orders(spark, sf_dir).detail("main", {"o_custkey": 7, "o_orderstatus": "O"}).select("o_orderkey", "o_custkey")
@@ -464,6 +470,13 @@ def query_all(spark, sf_dir):
     return e.query_all({"filterModel": {"event_type": {"filterType": "text", "type": "equals", "filter": "purchase"}}, "sortModel": [{"colId": "value", "sort": "desc"}]}).select("event_id", "value")
 
 
+@query("SELECT event_id, value FROM events WHERE event_type = 'purchase'")
+def query_all_unlimited(spark, sf_dir):
+    e = engine(spark, sf_dir, "events", "event_id")
+    r = {"filterModel": {"event_type": {"filterType": "text", "type": "equals", "filter": "purchase"}}, "sortModel": [{"colId": "value", "sort": "desc"}]}
+    return e.query_all(r, limit=None).select("event_id", "value")
+
+
 # --- changes ---
 
 

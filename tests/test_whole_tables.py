@@ -13,3 +13,10 @@ def test_every_customer_is_added(spark, small):
     out = QUERIES["transaction_apply_all"](spark, small)
     assert out.where("o_orderstatus = 'N'").count() == spark.read.parquet(f"{small}/customer.parquet").count()
     assert out.where("o_orderstatus != 'N'").count() == spark.read.parquet(f"{small}/orders.parquet").where("o_orderkey % 7 != 0").count()
+
+
+def test_series_and_rows_beyond_the_default_caps(spark, tmp_path):
+    spark.range(600).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "1.0D AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50_001).selectExpr("id AS event_id", "'purchase' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    assert [QUERIES[n](spark, str(tmp_path)).count() for n in ("series", "series_all")] == [500, 600]
+    assert [QUERIES[n](spark, str(tmp_path)).count() for n in ("query_all", "query_all_unlimited")] == [50_000, 50_001]
