@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import renamed, rows
 
-def sample(docs: DataFrame, trains: Column, per_language: int = 120, most_languages: int = 200) -> dict[str, list[str]]:
+def sample(docs: DataFrame, trains: Column, per_language: int = 120, most_languages: int = 200, length: int = 20_000) -> dict[str, list[str]]:
     """Training texts by language: of each, the per_language rows that come first by a hash of doc_id.
 
-    What reaches the driver is bounded by per_language * most_languages texts.
+    What reaches the driver is bounded by per_language * most_languages texts of `length` characters
+    at most; more than most_languages languages are an error.
     """
     known = renamed(docs, ["doc_id", "text", "lang"]).where(trains & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs = sorted(r.lang for r in known.select("lang").distinct().limit(most_languages + 1).collect())
@@ -32,7 +33,7 @@ def sample(docs: DataFrame, trains: Column, per_language: int = 120, most_langua
     out = {}
     for lang in langs:
         ids = [r.doc_id for r in known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).collect()]
-        texts = known.where((F.col("lang") == lang) & F.col("doc_id").isin([i for i in ids if i is not None])).select("doc_id", F.substring("text", 1, 20_000).alias("text"))
+        texts = known.where((F.col("lang") == lang) & F.col("doc_id").isin([i for i in ids if i is not None])).select("doc_id", F.substring("text", 1, length).alias("text"))
         out[lang] = [r.text for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language).collect()]
     return out
 

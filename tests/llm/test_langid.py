@@ -38,3 +38,8 @@ def test_narrow_margins_are_rejected(spark):
     got = {r.doc_id: r for r in langid.identified(df, dicts).collect()}
     assert got[1].lang == "a" and got[3].lang == "b" and got[2].lang == "und" and got[2].lang_best in dicts
     assert got[1].margin > got[2].margin
+
+
+def test_bounds_of_training_are_parameters(documents):
+    short = langid.sample(documents, F.lit(True), per_language=3, length=10)
+    assert all(len(some) <= 3 and all(len(x) <= 10 for x in some) for some in short.values())
