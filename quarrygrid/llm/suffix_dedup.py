@@ -3,28 +3,33 @@
 A byte goes if a `length`-byte string over it also starts earlier (in an earlier document, or
 earlier in the same one).  Strings are judged on the input; matches never cross documents.
 
-1. Anchors.  Every `length`-byte window chooses its smallest `GRAM`-byte gram by hash (a function of
+1. Batches.  Texts are written once to the shared folder, as a table whose buckets hold whole batches
+   of about `BATCH` bytes; every later step meets a batch where it lies, and no text is shuffled.
+2. Anchors.  Every `length`-byte window chooses its smallest `GRAM`-byte gram by hash (a function of
    the window's bytes alone), so equal windows choose equal grams at equal offsets.  Runs of windows
-   with one gram make a segment.  A batch of documents keeps one of equal segments, reports the later
-   ones as repeated, and sends the others as packed columns to the bucket of their gram.
-2. Settling.  A bucket sorts its segments by gram and content: later ones of equal content are
-   repeated; a gram with one content holds nothing more; the first segments of a gram with several
-   contents are open.
-3. Suffix sorting.  Open segments of a gram, a multi-document collection aligned by the gram, are
-   taken a column at a time from the right: each round prepends one symbol to every suffix,
-   keeps the suffixes sorted (each column of symbols in suffix order is a column of the
-   collection's Burrows-Wheeler transform) and updates the common prefixes of neighbours.  Symbols come from, and
-   transform and prefixes go to, sequential files in the task's temporary folder.  Windows at different offsets
-   from their gram cannot be equal, so a round orders only the suffixes that begin in its column.
-   Neighbours with `length` common bytes are equal windows; all but the first are repeated.
-4. A gram with very many contents is not gathered: its windows are settled one by one by hash of
-   gram and window, pre-aggregated by batch.  This is the exact way for what step 3 does not take.
-
-Segments and windows are told apart by 64-bit hashes within a gram's 64-bit hash.
-
-Defined results: a null text is an empty one; texts under `length` bytes lose nothing; rows with
-equal doc_id, and null doc_ids (which come first), are ordered by a hash of the text, equal rows
-arbitrarily but once and for all; an empty table gives no rows.
+   with one gram make a segment.  Each batch counts its segments by gram; only grams that the corpus
+   has twice or more go on.  (Counts are by 32 bits of the gram's hash within a bucket of the others:
+   a collision sends a segment more, nothing else.)
+3. Collections.  The segments of a gram, aligned by it, are a collection of bounded length: windows
+   at different offsets from their gram cannot be equal.  Segments of a batch that are equal byte for
+   byte enter it as one document with a multiplicity, so a passage of a batch is sent once however
+   often the batch has it.
+4. Columns.  A collection is taken a column at a time from the right.  A round inserts one symbol of
+   every document: it reads the transform (the symbol before each suffix, in suffix order), the
+   order and the common prefixes that the round before wrote, sequential files all three, orders the
+   suffixes by a stable pass over the transform, updates the common prefixes and writes all three
+   for the next round.  Neighbours with `length` common bytes are equal windows; all but the first
+   occurrence are repeated.  No repeat is decided in any other way, and bytes are compared, not hashes.
+5. Batches get the repeated windows back, turn them into runs of bytes and cut their texts.
+
+A gram with more than `MANY` contents would make one large collection.  Its windows are dealt out by a
+hash of the window instead of the gram's: documents of `length` bytes, in collections that hold at
+most one document a batch for each window, sorted by the same rounds.
+
+Defined results: a null text is an empty one; texts under `length` bytes lose nothing; null doc_ids
+come first, rows with equal doc_id are ordered by a hash of the text, equal rows by their place in
+the written table; a text of any length is one row of its batch, searched in overlapping pieces of
+`CHUNK` bytes; an empty table gives no rows; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,18 +45,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, parts_for, renamed, rows, saved, slices, unpacked
+from .common import parts_for, saved, work_dir
 
 GRAM = 32
-#: Bytes hashed at a time, and of a batch whose equal segments meet before anything is sent.
-CHUNK, BATCH = 1 << 20, 1 << 24
-#: Contents of a gram beyond which its windows are settled one by one: in a batch, and in a bucket.
-MANY_IN_BATCH, MANY = 16, 2000
-REPEATED, OPEN, WIDE = 0, 1, 2
-#: The columns of a packed payload.
-PACKED = [("key", "<u8"), ("seg", "<u8"), ("ord", "<i8"), ("s0", "<u4"), ("nw", "u1"), ("off", "u1"), ("mark", "u1")]
-MARKS = "ord long, s0 long, nw int, off int, key long, kind int"
+#: Bytes hashed at a time; bytes and rows of a batch.
+CHUNK, BATCH, ROWS = 1 << 20, 1 << 24, 1 << 18
+#: Contents of a gram beyond which its windows are dealt out one by one; documents of a block of collections.
+MANY, BLOCK = 50_000, 1 << 15
+#: What a batch hears of a gram: nothing to look for, repeated, repeated with very many contents.
+ALONE, SHARED, CROWDED = 0, 1, 2
+#: Of equal segments of a batch, which occurrences of a window are repeated: the later ones, or all.
+LATER, ALL = 0, 1
+#: Packed columns: a document of a collection, and a run of its repeated windows.
+MEMBER = [("key", "<u8"), ("entry", "<u4"), ("doc_id", "<i8"), ("hash", "<u4"), ("uid", "<i8"), ("place", "<u4"), ("size", "<u2"), ("off", "<u2"), ("many", "u1")]
+HIT = [("entry", "<u4"), ("t", "<u2"), ("n", "<u2"), ("kind", "u1")]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bits of a place within a chunk; the other bits of a gram's hash choose, in every chunk alike.
+_PLACE = np.uint64(CHUNK.bit_length() - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -91,269 +102,362 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def segments(texts: list[bytes], length: int) -> dict[str, np.ndarray]:
-    """doc (its place in texts), s0, nw, off, key, seg of every segment of the texts."""
+def pieces(lengths: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts joined to one string, cut to searchable pieces: text, start and end, CHUNK bytes together at most.
+
+    Pieces of a long text overlap so that every window lies in exactly one.
+    """
+    ends = np.cumsum(lengths)
+    some: list[tuple[int, int, int]] = []
+    held = 0
+    for k in np.flatnonzero(lengths >= length).tolist():
+        first, last = int(ends[k] - lengths[k]), int(ends[k])
+        for a in range(first, last - length + 1, CHUNK - length + 1):
+            b = min(a + CHUNK, last)
+            if held + b - a > CHUNK:
+                yield tuple(np.array(x, np.int64) for x in zip(*some, strict=True))
+                some, held = [], 0
+            some.append((k, a, b))
+            held += b - a
+    if some:
+        yield tuple(np.array(x, np.int64) for x in zip(*some, strict=True))
+
+
+def segments(flat: np.ndarray, lengths: np.ndarray, length: int) -> dict[str, np.ndarray]:
+    """doc (its number), start (in flat), nw (windows), off (of the gram), key (the gram's hash) and seg (the content's) of every segment."""
     found: list[list[np.ndarray]] = [[] for _ in range(6)]
     width = length - GRAM + 1
-    k = 0
-    while k < len(texts):
-        first, size = k, 0
-        while k < len(texts) and (k == first or size + len(texts[k]) <= CHUNK):
-            size += len(texts[k])
-            k += 1
-        b = np.frombuffer(b"".join(texts[first:k]), np.uint8)
-        if len(b) < length:
-            continue
-        lengths = np.array([len(t) for t in texts[first:k]], np.int64)
-        ends = np.cumsum(lengths)
+    for doc, first, last in pieces(lengths, length):
+        size = last - first
+        b = np.concatenate([flat[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)])
         h = grams(b)
         # The upper bits of a hash, then the place: the smallest is the leftmost of equal grams.
-        bits = np.uint64(max(1, int(len(h)).bit_length()))
-        low = (np.uint64(1) << bits) - np.uint64(1)
-        at = (sliding_min((h >> bits << bits) | np.arange(len(h), dtype=np.uint64), width) & low).astype(np.int64)
-        n = np.maximum(lengths - length + 1, 0)
-        doc = np.repeat(np.arange(len(lengths)), n)
-        base = ends - lengths
-        start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + base[doc]
+        at = (sliding_min((h >> _PLACE << _PLACE) | np.arange(len(h), dtype=np.uint64), width) & np.uint64(CHUNK - 1)).astype(np.int64)
+        n = size - length + 1
+        own = np.repeat(np.arange(len(size)), n)
+        base = np.cumsum(size) - size
+        start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + base[own]
         place = at[start]
-        new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]))) if len(start) else np.empty(0, np.int64)
+        new = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (own[1:] != own[:-1])))
         nw = np.diff(np.append(new, len(start)))
-        s0, p, own = start[new], place[new], doc[new]
-        for x, y in zip(found, (own + first, s0 - base[own], nw, p - s0, h[p], content(h, s0, nw + length - 1)), strict=True):
+        s0, p, own = start[new], place[new], own[new]
+        for x, y in zip(found, (doc[own], s0 - base[own] + first[own], nw, p - s0, h[p], content(h, s0, nw + length - 1)), strict=True):
             x.append(y)
     empty = np.empty(0, np.int64)
     out = [np.concatenate(x) if x else empty for x in found]
-    return dict(zip(("doc", "s0", "nw", "off", "key", "seg"), [*out[:4], *(x.astype(np.uint64) for x in out[4:])], strict=True))
+    return dict(zip(("doc", "start", "nw", "off", "key", "seg"), [*out[:4], *(x.astype(np.uint64) for x in out[4:])], strict=True))
+
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of every stretch, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)
 
-def classes(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, content, document and start; where a new key and a new content begin in it."""
-    order = np.lexsort((c["s0"], c["ord"], c["seg"], c["key"]))
-    key, seg = c["key"][order], c["seg"][order]
-    new_key = np.append(True, key[1:] != key[:-1])[: len(order)]
-    return order, new_key, new_key | np.append(True, seg[1:] != seg[:-1])[: len(order)]
 
+def single_windows(flat: np.ndarray, c: dict[str, np.ndarray], length: int) -> dict[str, np.ndarray]:
+    """Segments as windows: each a segment of its own, whose key is the hash of the window."""
+    some = {name: [] for name in c}
+    for k in range(0, len(c["doc"]), 1 << 14):
+        nw, start = (c[n][k : k + (1 << 14)] for n in ("nw", "start"))
+        at = spread(start, nw)
+        size = nw + length - 1
+        h = grams(flat[spread(start, size)])
+        key = content(h, spread(np.cumsum(size) - size, nw), np.full(len(at), length))
+        for name, x in (("doc", np.repeat(c["doc"][k : k + (1 << 14)], nw)), ("start", at), ("nw", np.ones(len(at), np.int64)), ("off", np.zeros(len(at), np.int64)), ("key", key), ("seg", key)):
+            some[name].append(x)
+    return {name: np.concatenate(x) if x else c[name] for name, x in some.items()}
 
-def marks(c: dict[str, np.ndarray], at: np.ndarray, kind) -> list[np.ndarray]:
-    """Columns of MARKS for the places `at`; what is repeated needs no gram any more."""
-    kind = np.broadcast_to(np.int32(kind), len(at)) if np.isscalar(kind) else kind.astype(np.int32)
-    more = kind != REPEATED
-    return [c["ord"][at], c["s0"][at].astype(np.int64), c["nw"][at].astype(np.int32), c["off"][at].astype(np.int32) * more, c["key"][at].view(np.int64) * more, kind]
 
+def entries(flat: np.ndarray, c: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments in the order of their contents; where a new content begins in it; each content's number there.
 
-def _packed(c: dict[str, np.ndarray], at: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(c[name][at], kind).tobytes() for name, kind in PACKED)
+    Contents are found by their hash and held against the first byte for byte; one that only has the
+    hash of another is a content of its own.
+    """
+    order = np.lexsort((c["start"], c["off"], c["nw"], c["seg"], c["key"]))
+    o = {name: c[name][order] for name in ("key", "seg", "nw", "off", "start")}
+    new = np.append(True, np.logical_or.reduce([o[n][1:] != o[n][:-1] for n in ("key", "seg", "nw", "off")]))[: len(order)]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    later = np.flatnonzero(~new)
+    for k in range(0, len(later), 1 << 14):
+        some = later[k : k + (1 << 14)]
+        size = o["nw"][some] + length - 1
+        differ = flat[spread(o["start"][some], size)] != flat[spread(o["start"][first[some]], size)]
+        if differ.any():
+            new[some[np.logical_or.reduceat(differ, np.cumsum(size) - size)]] = True
+    return order, new, np.cumsum(new) - 1
+
+
+def packed(c: dict[str, np.ndarray], kinds: list[tuple[str, str]], at: np.ndarray | slice = slice(None)) -> bytes:
+    return b"".join(np.ascontiguousarray(c[name][at], kind).tobytes() for name, kind in kinds)
+
+
+def unpacked(data: bytes, kinds: list[tuple[str, str]], n: int) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, kind in kinds:
+        out[name] = np.frombuffer(data, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    return out
 
 
-def _unpacked(data: list[bytes]) -> dict[str, np.ndarray]:
-    width = sum(np.dtype(kind).itemsize for _, kind in PACKED)
-    parts: dict[str, list] = {name: [] for name, _ in PACKED}
-    for d in data:
-        n, at = len(d) // width, 0
-        for name, kind in PACKED:
-            parts[name].append(np.frombuffer(d, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return {name: np.concatenate(parts[name]) if data else np.empty(0, kind) for name, kind in PACKED}
+def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal values."""
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+    return starts, np.append(starts[1:], len(of)) if len(of) else starts
 
 
-_NAMES = [x.split()[0] for x in MARKS.split(", ")]
-#: What a packed segment is: first of its content in a batch; one that tells a bucket of a crowded
-#: gram; already known to be repeated; already known to be settled window by window.
-FIRST, LEAD, KNOWN, CROWDED = 0, 1, 2, 3
+class Columns:
+    """The order of suffixes, their transform and their common prefixes: sequential files of one round, read by the next."""
 
+    KINDS = (("order", np.int32), ("transform", np.uint8), ("prefixes", np.uint16))
 
-def _send(c: dict[str, np.ndarray], buckets: int, open_contents: bool) -> Iterator[tuple[int, bytes]]:
-    """A batch's part of a settling, by bucket: a gram's first contents to its own, what is known to any."""
-    order, new_key, new_class = classes(c)
-    firsts, later = order[new_class], order[~new_class]
-    crowded = lead = firsts[:0]
-    if open_contents and len(firsts):
-        key_starts = np.flatnonzero(new_key[new_class])
-        contents = np.diff(np.append(key_starts, len(firsts)))
-        many = np.repeat(contents > MANY_IN_BATCH, contents)
-        crowded, lead, firsts = firsts[many], firsts[key_starts[contents > MANY_IN_BATCH]], firsts[~many]
-    at = np.concatenate([firsts, lead, later, crowded])
-    mark = np.repeat(np.array([FIRST, LEAD, KNOWN, CROWDED], np.uint8), [len(firsts), len(lead), len(later), len(crowded)])
-    c = {name: x[at] for name, x in c.items()} | {"mark": mark}
-    to = np.where(mark <= LEAD, c["key"] >> np.uint64(20), c["ord"].astype(np.uint64)) % np.uint64(buckets)
-    by = np.argsort(to, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(to[by]) != 0)) if len(by) else []
-    for a, b in zip(starts, [*starts[1:], len(by)], strict=True):
-        yield int(to[by[a]]), _packed(c, by[a:b])
+    def __init__(self, folder: str):
+        self.folder, self.round = folder, 0
 
+    def _path(self, name: str, round_: int) -> str:
+        return os.path.join(self.folder, f"{name}-{round_ % 2}")
 
-def _settle(sent: DataFrame, open_contents: bool) -> DataFrame:
-    """MARKS that the buckets of `sent` (bucket, data) find."""
+    def read(self) -> list[np.ndarray]:
+        return [np.fromfile(self._path(name, self.round), kind) for name, kind in self.KINDS]
+
+    def write(self, *values: np.ndarray) -> None:
+        self.round += 1
+        for (name, kind), x in zip(self.KINDS, values, strict=True):
+            x.astype(kind, copy=False).tofile(self._path(name, self.round))
 
-    def bucket(table):
-        import pyarrow as pa
 
-        c = _unpacked([x.as_py() for x in table.column("data")])
-        known, crowded = np.flatnonzero(c["mark"] == KNOWN), np.flatnonzero(c["mark"] == CROWDED)
-        own = np.flatnonzero(c["mark"] <= LEAD)
-        order, new_key, new_class = classes({name: x[own] for name, x in c.items()})
-        order = own[order]
-        lead = c["mark"][order] == LEAD
-        parts = [marks(c, known, REPEATED), marks(c, crowded, WIDE), marks(c, order[~new_class & ~lead], REPEATED)]
-        if open_contents and len(order):
-            key_of = np.cumsum(new_key) - 1
-            contents = np.bincount(key_of, new_class)
-            wide = (contents > MANY) | (np.bincount(key_of, lead) > 0)
-            first = new_class & ~lead & ((contents > 1) | wide)[key_of]
-            parts.append(marks(c, order[first], np.where(wide[key_of[first]], WIDE, OPEN)))
-        return pa.table([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], _NAMES)
-
-    return sent.groupBy("bucket").applyInArrow(bucket, MARKS)
-
-
-def common_windows(data: list[bytes], group: np.ndarray, off: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The repeated windows of segments: places in data, and each window's number in its segment.
-
-    group: segments of one gram; off: the gram's offset in a segment; rank: the order of the segments'
-    grams by document and place, which says whose window is the first.
+def repeated_windows(flat: np.ndarray, size: np.ndarray, group: np.ndarray, off: np.ndarray, rank: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, window's number in it, and kind (LATER or ALL) of every repeated window of the collections.
+
+    flat: the documents' bytes one after another; size: of each; group: its collection, in ascending
+    order; off: the gram's offset in it; rank: the order of first occurrences; many: is there more than one.
     """
-    m = len(data)
-    size = np.array([len(d) for d in data], np.int64)
+    edges = np.append(_runs(group)[0], len(group))
+    found = [(np.empty(0, np.int64),) * 3]
+    base = np.cumsum(size) - size
+    at = 0
+    with tempfile.TemporaryDirectory() as folder:
+        while at < len(edges) - 1:
+            # Whole collections, BLOCK documents together unless one has more.
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + BLOCK, "right")) - 1)
+            a, b = int(edges[at]), int(edges[to])
+            own = slice(a, b)
+            for d, t, kind in _block(flat[base[a] : base[b - 1] + size[b - 1]], size[own], group[own], off[own], rank[own], many[own], length, folder):
+                found.append((d + a, t, kind))
+            at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _block(flat: np.ndarray, size: np.ndarray, group: np.ndarray, off: np.ndarray, rank: np.ndarray, many: np.ndarray, length: int, folder: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     low = -off.astype(np.int64)
     high = low + size
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    with tempfile.TemporaryDirectory() as folder:
-        # Columns of symbols in the order in which the rounds need them.
-        first, last = int(low.min()), int(high.max())
-        flat = np.frombuffer(b"".join(data), np.uint8)
-        base = np.cumsum(size) - size
-        with open(os.path.join(folder, "symbols"), "wb") as out:
-            for column in range(last - 1, first - 1, -1):
-                at = np.flatnonzero((low <= column) & (column < high))
-                out.write(flat[base[at] + column - low[at]].tobytes())
-        symbols, transform, prefixes = (open(os.path.join(folder, n), m_) for n, m_ in (("symbols", "rb"), ("bwt", "wb"), ("lcp", "wb")))
-        with symbols, transform, prefixes:
-            order, lcp = np.empty(0, np.int64), np.empty(0, np.int64)  # suffixes in order; common prefix with the one before
-            held = np.zeros(m, np.uint8)
-            for column in range(last - 1, first - 1, -1):
-                inside = np.flatnonzero((low <= column) & (column < high))
-                held[inside] = np.frombuffer(symbols.read(len(inside)), np.uint8)
-                if len(gone := low[order] > column) and gone.any():
-                    # The common prefix of what closes ranks is the least of what lay between.
-                    keep = np.flatnonzero(~gone)
-                    lcp = np.minimum.reduceat(lcp[: keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else lcp[:0]
-                    order = order[keep]
-                if len(come := np.flatnonzero(high == column + 1)):
-                    # Empty suffixes stand before all others of their group.
-                    both, shared = np.concatenate([come, order]), np.concatenate([np.zeros(len(come), np.int64), lcp])
-                    by = np.argsort(group[both], kind="stable")
-                    order, lcp = both[by], shared[by]
-                    lcp[: len(lcp)][np.append(True, group[order[1:]] != group[order[:-1]])] = 0
-                    after = np.flatnonzero(np.isin(order, come, assume_unique=True)) + 1
-                    lcp[after[after < len(lcp)]] = 0
-                symbol = held[order]
-                transform.write(symbol.tobytes())
-                by = np.argsort(group[order] * 256 + symbol, kind="stable")
-                a, b = by[:-1], by[1:]
-                same = (group[order[a]] == group[order[b]]) & (symbol[a] == symbol[b])
-                shared = np.zeros(len(order), np.int64)
-                if same.any():
-                    pairs = np.column_stack([a[same] + 1, b[same] + 1]).ravel()
-                    shared[1:][same] = 1 + np.minimum.reduceat(np.append(lcp, 0), pairs)[::2]
-                order, lcp = order[by], np.minimum(shared, length)
-                prefixes.write(lcp.astype(np.uint16).tobytes())
+    base = np.cumsum(size) - size - low
+    starts, ends = _runs(group)
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    group = group.astype(np.uint16) if len(starts) <= 1 << 16 else group
+    first, last = int(low.min()), int(high.max())
+    # Symbols by column, from the right, in the order of the documents: read once, in sequence.
+    by_end = np.argsort(-high, kind="stable")
+    entering = np.searchsorted(-high[by_end], np.arange(-last, -first + 1), "right")
+    with open(os.path.join(folder, "symbols"), "wb") as out:
+        for column in range(last - 1, first - 1, -1):
+            at = np.flatnonzero((low <= column) & (column < high))
+            out.write(flat[base[at] + column].tobytes())
+    state = Columns(folder)
+    state.write(np.empty(0), np.empty(0), np.empty(0))
+    held = np.zeros(len(size), np.uint8)
+    with open(os.path.join(folder, "symbols"), "rb") as symbols:
+        inside = np.flatnonzero((low < last) & (last - 1 < high))
+        held[inside] = np.frombuffer(symbols.read(len(inside)), np.uint8)
+        for column in range(last - 1, first - 1, -1):
+            order, transform, lcp = state.read()
+            order, lcp = order.astype(np.int64), lcp.astype(np.int64)
+            # Documents whose last symbol this is: their empty suffixes stand before all others of the collection.
+            k = last - 1 - column
+            if len(come := np.sort(by_end[entering[k - 1] if k else 0 : entering[k]])):
+                both = np.concatenate([come, order])
+                by = np.argsort(group[both], kind="stable")
+                order, transform, lcp = both[by], np.concatenate([held[come], transform])[by], np.concatenate([np.zeros(len(come), np.int64), lcp])[by]
+                fresh = by < len(come)
+                lcp[fresh] = 0
+                lcp[1:][fresh[:-1]] = 0
+                lcp[np.append(True, group[order[1:]] != group[order[:-1]])] = 0
+            # The round: suffixes in the order of their new first symbol, ties as they were.
+            by = np.argsort(transform, kind="stable")
+            by = by[np.argsort(group[order[by]], kind="stable")]
+            p, q = by[:-1], by[1:]
+            same = (group[order[p]] == group[order[q]]) & (transform[p] == transform[q])
+            shared = np.zeros(len(order), np.int64)
+            if same.any():
+                pairs = np.column_stack([p[same] + 1, q[same] + 1]).ravel()
+                shared[1:][same] = 1 + np.minimum.reduceat(np.append(lcp, 0), pairs)[::2]
+            order, lcp = order[by], np.minimum(shared, length)
+            # Equal windows that begin in this column.
+            whole = high[order] - column >= length
+            if whole.any():
                 equal = lcp >= length
-                if equal.any():
-                    starts = np.flatnonzero(~equal)
-                    least = np.repeat(np.minimum.reduceat(rank[order], starts), np.diff(np.append(starts, len(order))))
-                    several = np.repeat(np.diff(np.append(starts, len(order))) > 1, np.diff(np.append(starts, len(order))))
-                    hit = order[several & (rank[order] != least)]
-                    hits.append((hit, column - low[hit]))
-    if not hits:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in hits]), np.concatenate([x for _, x in hits])
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with `ord`, a number for each row in document order: doc_id itself where that is unique."""
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    state = ids.agg(F.max("n").alias("n"), F.max(F.col("doc_id").isNull()).alias("null")).first()
-    if state.n is None or state.n == 1 and not state.null:
-        return docs.withColumn("ord", F.col("doc_id"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    # Numbers are made and written once, then read: no later pass can number rows otherwise.
-    return saved(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()), "numbered")
-
-
-def repeated_windows(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """docs: ord, text.  What is touched (ord, n_bytes, text, marks), and further windows (ord, s0, nw) found later.
-
-    Of a text whose every window is marked as repeated, only the number of bytes is kept.
-    """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = parts_for(total, 1 << 24)
-
-    def first_pass(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for some in rows(batches, BATCH):
-            some = [(o, t) for o, t in ((o, (t or "").encode()) for o, t in some) if len(t) >= length]
-            c = segments([t for _, t in some], length)
-            c["ord"] = np.array([o for o, _ in some], np.int64)[c.pop("doc")]
-            for to, data in _send(c, buckets, True):
-                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([data], pa.binary())], ["bucket", "data"])
-
-    found = _settle(docs.select("ord", "text").mapInArrow(first_pass, "bucket long, data binary"), True)
-    by_doc = found.groupBy("ord").agg(F.collect_list(F.struct("s0", "nw", "off", "key", "kind")).alias("marks"))
-    known = F.aggregate("marks", F.lit(0).cast("long"), lambda n, x: n + F.when(x["kind"] == REPEATED, x["nw"]).otherwise(0))
-    part = known < F.octet_length("text") - (length - 1)
-    touched = docs.join(by_doc, "ord").select("ord", F.octet_length("text").cast("long").alias("n_bytes"), F.when(part, F.col("text")).alias("text"), F.when(part, F.col("marks")).alias("marks"))
-    touched = saved(touched, "touched")
-
-    def second_pass(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in slices(batches):
-            narrow: list[tuple] = []
-            wide: list[tuple] = []
-            for o, text, own in zip(*(batch.column(n).to_pylist() for n in ("ord", "text", "marks")), strict=True):
-                raw = text.encode()
-                for x in own:
-                    if x["kind"] != REPEATED:
-                        (narrow if x["kind"] == OPEN else wide).append((x["key"], o, x["s0"], x["nw"], x["off"], raw[x["s0"] : x["s0"] + x["nw"] + length - 1]))
-            if narrow:
-                key, o, s0, nw, off, data = zip(*narrow, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.int64()), pa.array(data, pa.binary()), pa.array(key, pa.int64()), *(pa.array(x, pa.int64()) for x in (o, s0, off))], ["bucket", "data", "key", "ord", "s0", "off"])
-            for k in range(0, len(wide), 20_000):
-                key, o, s0, nw, _, data = (list(x) for x in zip(*wide[k : k + 20_000], strict=True))
-                h, n = grams(np.frombuffer(b"".join(data), np.uint8)), np.array(nw, np.int64)
-                base = np.cumsum(n + length - 1) - (n + length - 1)
-                t = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                c = {"key": np.repeat(np.array(key, np.int64).view(np.uint64), n), "ord": np.repeat(np.array(o, np.int64), n), "s0": np.repeat(np.array(s0, np.int64), n) + t}
-                c["seg"] = content(h, np.repeat(base, n) + t, np.full(len(t), length))
-                # Windows of one gram go to many buckets: the window's hash is what is settled.
-                c["key"], c["seg"] = c["seg"], c["key"]
-                c |= {"nw": np.ones(len(t), np.uint8), "off": np.zeros(len(t), np.uint8)}
-                for to, packed in _send(c, buckets, False):
-                    yield pa.RecordBatch.from_arrays([pa.array([to], pa.int64()), pa.array([packed], pa.binary()), *[pa.nulls(1, pa.int64())] * 4], ["bucket", "data", "key", "ord", "s0", "off"])
-
-    later = saved(touched.where(F.exists("marks", lambda x: x["kind"] != REPEATED)).mapInArrow(second_pass, "bucket long, data binary, key long, ord long, s0 long, off long"), "open-segments")
-
-    def sort(table):
-        import pyarrow as pa
-
-        keys = table.column("key").to_numpy()
-        group = np.unique(keys, return_inverse=True)[1].astype(np.int64)
-        o, s0, off = (table.column(n).to_numpy() for n in ("ord", "s0", "off"))
-        rank = np.empty(len(o), np.int64)
-        rank[np.lexsort((s0 + off, o))] = np.arange(len(o))
-        at, t = common_windows([x.as_py() for x in table.column("data")], group, off, rank, length)
-        return pa.table({"ord": o[at], "s0": s0[at] + t, "nw": pa.array(np.ones(len(at), np.int32))})
-
-    opened = later.where("bucket is null").drop("bucket")
-    n_open = opened.count()
-    opened = opened.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts_for(n_open, 20_000))))
-    sorted_ = opened.groupBy("part").applyInArrow(sort, "ord long, s0 long, nw int")
-    one_by_one = _settle(later.where("bucket is not null").select("bucket", "data"), False)
-    return touched, sorted_.unionByName(one_by_one.select("ord", "s0", "nw"))
-
-
-def covered(size: int, s0: np.ndarray, nw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+                run = np.cumsum(~equal) - 1
+                heads = np.flatnonzero(~equal)
+                several = (np.diff(np.append(heads, len(order))) > 1)[run] & whole
+                least = np.minimum.reduceat(rank[order], heads)[run] == rank[order]
+                hit = several & ~least | whole & least & (many[order] > 0)
+                if hit.any():
+                    d = order[hit]
+                    yield d, column - low[d], np.where(least[hit], LATER, ALL)
+            # The transform of the next column.  A document goes when it has no symbol left, or when no window
+            # of it can reach `length` bytes in common any more; what closes ranks shares the least of what lay between.
+            inside = np.flatnonzero((low < column) & (column - 1 < high))
+            held[inside] = np.frombuffer(symbols.read(len(inside)), np.uint8)
+            most = np.maximum(lcp, np.append(lcp[1:], 0)) if len(lcp) else lcp
+            stay = (low[order] < column) & ((many[order] > 0) | (most + column - low[order] >= length))
+            if not stay.all():
+                keep = np.flatnonzero(stay)
+                lcp = np.minimum.reduceat(lcp[: keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else lcp[:0]
+                order = order[keep]
+            state.write(order, held[order], lcp)
+
+
+def census(c: dict[str, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each gram's bucket and 32 bits of its hash (in order), and the gram of each segment."""
+    bucket = (c["key"] * _A >> np.uint64(32)) % np.uint64(buckets)
+    found, of = np.unique(bucket << np.uint64(32) | c["key"] & np.uint64(0xFFFFFFFF), return_inverse=True)
+    return (found >> np.uint64(32)).astype(np.int64), found.astype(np.uint32), of.ravel()
+
+
+def _zip(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unzip(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+class Batch:
+    """The texts of a batch in document order, and their segments."""
+
+    def __init__(self, table, length: int):
+        import xxhash
+
+        raw = [(t or "").encode() for t in table.column("text").to_pylist()]
+        ids = [(-(1 << 63) if d is None else d) for d in table.column("doc_id").to_pylist()]
+        uids = table.column("uid").to_pylist()
+        hashes = [xxhash.xxh32_intdigest(t) for t in raw]
+        self.order = sorted(range(len(raw)), key=lambda k: (ids[k], hashes[k], uids[k]))
+        self.raw = [raw[k] for k in self.order]
+        self.names = {name: np.array([x[k] for k in self.order], kind) for name, x, kind in (("doc_id", ids, np.int64), ("hash", hashes, np.uint32), ("uid", uids, np.int64))}
+        self.lengths = np.array([len(t) for t in self.raw], np.int64)
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.segments = segments(self.flat, self.lengths, length)
+        self.length = length
+
+    def documents(self, heard, buckets: int) -> list[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+        """Shared segments, and the windows of crowded grams, each with entries(); heard: bucket and data of the codes."""
+        bucket, _, of = census(self.segments, buckets)
+        code = np.zeros(len(bucket), np.uint8)
+        starts, ends = _runs(bucket)
+        at = {int(bucket[a]): slice(a, b) for a, b in zip(starts, ends, strict=True)}
+        for k, data in heard:
+            code[at[k]] = np.frombuffer(_unzip(data), np.uint8)
+        code = code[of]
+        some = lambda x: {name: v[code == x] for name, v in self.segments.items()}
+        out = []
+        for c in (some(SHARED), single_windows(self.flat, some(CROWDED), self.length)):
+            out.append((c, *entries(self.flat, c, self.length)))
+        return out
+
+
+def _counted(table, length: int, buckets: int):
+    """Of a batch: bucket, batch and data (the grams' 32 bits, their contents and whether they come again)."""
+    import pyarrow as pa
+
+    c = Batch(table, length).segments
+    bucket, low, of = census(c, buckets)
+    order = np.lexsort((c["seg"], of))
+    a, b = of[order], c["seg"][order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(order)]
+    contents = np.minimum(np.bincount(a[new], minlength=len(low)), (1 << 15) - 1)
+    count = (2 * contents + (np.bincount(of, minlength=len(low)) > 1)).astype("<u2")
+    starts, ends = _runs(bucket)
+    data = [_zip(low[s:e].astype("<u4").tobytes() + count[s:e].tobytes()) for s, e in zip(starts, ends, strict=True)]
+    return pa.table({"bucket": pa.array(bucket[starts], pa.int64()), "batch": pa.array([table.column("batch")[0].as_py()] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def _told(table):
+    """Of a bucket: what each batch hears of its grams, one code a gram."""
+    import pyarrow as pa
+
+    batches, low, count = table.column("batch").to_pylist(), [], []
+    for x in table.column("data"):
+        data = _unzip(x.as_py())
+        n = len(data) // 6
+        low.append(np.frombuffer(data, "<u4", n))
+        count.append(np.frombuffer(data, "<u2", n, 4 * n))
+    of = np.unique(np.concatenate(low), return_inverse=True)[1].ravel()
+    counts = np.concatenate(count)
+    again = np.bincount(of) + np.bincount(of, counts & 1) > 1
+    code = (again * SHARED + (np.bincount(of, counts >> 1) > MANY) * (CROWDED - SHARED) * again).astype(np.uint8)[of]
+    parts = np.split(code, np.cumsum([len(x) for x in low])[:-1])
+    return pa.table({"batch": pa.array(batches, pa.int64()), "bucket": pa.array([table.column("bucket")[0].as_py()] * len(batches), pa.int64()), "data": pa.array([_zip(x.tobytes()) for x in parts], pa.binary())})
+
+
+def _members(table, heard, length: int, buckets: int, parts: int):
+    """Of a batch: part, batch, n and data, the documents of collections."""
+    import pyarrow as pa
+
+    own, out, before = Batch(table, length), [], 0
+    for c, order, new, number in own.documents(zip(heard.column("bucket").to_pylist(), heard.column("data").to_pylist(), strict=True), buckets):
+        first = order[new]
+        doc, start = c["doc"][first], c["start"][first]
+        m = {"key": c["key"][first], "entry": np.arange(before, before + len(first)), "place": start - own.first[doc] + c["off"][first], "size": c["nw"][first] + length - 1, "off": c["off"][first], "many": np.bincount(number, minlength=len(first)) > 1}
+        m |= {name: x[doc] for name, x in own.names.items()}
+        before += len(first)
+        part = ((m["key"] * _B >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        for a, b in zip(*_runs(part[by]), strict=True):
+            at = by[a:b]
+            data = packed(m, MEMBER, at) + own.flat[spread(start[at], m["size"][at])].tobytes()
+            out.append((int(part[at[0]]), len(at), _zip(data)))
+    columns = list(zip(*out, strict=True)) if out else [[]] * 3
+    return pa.table({"part": pa.array(columns[0], pa.int64()), "batch": pa.array([table.column("batch")[0].as_py()] * len(out), pa.int64()), "n": pa.array(columns[1], pa.int64()), "data": pa.array(columns[2], pa.binary())})
+
+
+def _found(table, length: int):
+    """Of a part: batch, n and data, the runs of repeated windows that each batch is told."""
+    import pyarrow as pa
+
+    width = sum(np.dtype(kind).itemsize for _, kind in MEMBER)
+    batches, some, texts = table.column("batch").to_numpy(), [], []
+    for n, x in zip(table.column("n").to_pylist(), table.column("data"), strict=True):
+        data = _unzip(x.as_py())
+        some.append(unpacked(data, MEMBER, n))
+        texts.append(np.frombuffer(data, np.uint8, len(data) - n * width, n * width))
+    m = {name: np.concatenate([x[name] for x in some]) for name, _ in MEMBER}
+    batch = np.repeat(batches, [len(x["key"]) for x in some])
+    order = np.argsort(m["key"], kind="stable")
+    size = m["size"].astype(np.int64)
+    flat = np.concatenate(texts)[spread((np.cumsum(size) - size)[order], size[order])]
+    del texts, some
+    rank = np.empty(len(order), np.int64)
+    rank[np.lexsort((m["place"], m["uid"], m["hash"], m["doc_id"]))] = np.arange(len(order))
+    d, t, kind = repeated_windows(flat, size[order], m["key"][order], m["off"][order], rank[order], m["many"][order], length)
+    by = np.lexsort((t, kind, d))
+    d, t, kind = d[by], t[by], kind[by]
+    new = np.append(True, (d[1:] != d[:-1]) | (kind[1:] != kind[:-1]) | (t[1:] != t[:-1] + 1))[: len(d)]
+    starts = np.flatnonzero(new)
+    own = order[d[starts]]
+    c = {"entry": m["entry"][own], "t": t[starts], "n": np.diff(np.append(starts, len(d))), "kind": kind[starts]}
+    by = np.argsort(batch[own], kind="stable")
+    out = [(int(batch[own[by[a]]]), b - a, _zip(packed(c, HIT, by[a:b]))) for a, b in zip(*_runs(batch[own][by]), strict=True)]
+    columns = list(zip(*out, strict=True)) if out else [[]] * 3
+    return pa.table({"batch": pa.array(columns[0], pa.int64()), "n": pa.array(columns[1], pa.int64()), "data": pa.array(columns[2], pa.binary())})
+
+
+def covered(s0: np.ndarray, nw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the maximal removed runs, from runs of repeated windows."""
     order = np.argsort(s0, kind="stable")
     a, b = s0[order], (s0 + nw + length - 1)[order]
@@ -364,64 +468,129 @@ def covered(size: int, s0: np.ndarray, nw: np.ndarray, length: int) -> tuple[np.
     return a[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
 
 
-SPANS = "starts array<long>, ends array<long>"
-
-
 def cut(raw: bytes, starts: list[int], ends: list[int]) -> bytes:
     """raw without the spans."""
     return b"".join(raw[a:b] for a, b in zip([0, *ends], [*starts, len(raw)], strict=True))
 
 
-def spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """Of each row of docs (ord, text) that loses bytes: ord, starts, ends, n_removed and kept_sha256."""
-    touched, more = repeated_windows(docs, length)
-    more = more.groupBy("ord").agg(F.collect_list(F.struct("s0", "nw")).alias("more"))
-    runs = F.transform(F.filter("marks", lambda x: x["kind"] == REPEATED), lambda x: F.struct(x["s0"].alias("s0"), x["nw"].alias("nw")))
-    both = touched.select("ord", "n_bytes", "text", runs.alias("runs")).join(more, "ord", "left").where("text is null or size(runs) > 0 or more is not null")
-    both = both.select("ord", "n_bytes", "text", F.concat("runs", F.coalesce("more", F.array().cast("array<struct<s0:bigint,nw:int>>"))).alias("runs"))
-    both = both.select("ord", "n_bytes", "text", F.transform("runs", lambda x: x["s0"]).alias("s0"), F.transform("runs", lambda x: x["nw"].cast("long")).alias("nw"))
+def _spans(table, heard, length: int, buckets: int) -> tuple[list[bytes], list[list[int]], list[list[int]]]:
+    """Of a batch: text, starts and ends of the removed runs of each of its rows, in the order of the table."""
+    own = Batch(table, length)
+    codes, hits = [], []
+    for bucket, n, data in zip(*(heard.column(x).to_pylist() for x in ("bucket", "n", "data")), strict=True):
+        if bucket is None:
+            hits.append(unpacked(_unzip(data), HIT, n))
+        else:
+            codes.append((bucket, data))
+    h = {name: np.concatenate([np.empty(0, np.int64), *(x[name] for x in hits)]).astype(np.int64) for name, _ in HIT}
+    doc, start, nw, before = [], [], [], 0
+    for c, order, new, number in own.documents(codes, buckets):
+        heads = np.flatnonzero(new)
+        n = np.diff(np.append(heads, len(order)))
+        some = np.flatnonzero((h["entry"] >= before) & (h["entry"] < before + len(heads)))
+        entry = h["entry"][some] - before
+        later = (h["kind"][some] == LATER).astype(np.int64)
+        times = n[entry] - later
+        at = order[spread(heads[entry] + later, times)]
+        doc.append(c["doc"][at])
+        start.append(c["start"][at] - own.first[c["doc"][at]] + np.repeat(h["t"][some], times))
+        nw.append(np.repeat(h["n"][some], times))
+        before += len(heads)
+    doc, start, nw = (np.concatenate(x) for x in (doc, start, nw))
+    by = np.argsort(doc, kind="stable")
+    raw, starts, ends = ([None] * len(own.raw) for _ in range(3))
+    edges = np.searchsorted(doc[by], np.arange(len(own.raw) + 1))
+    for k, place in enumerate(own.order):
+        some = by[edges[k] : edges[k + 1]]
+        a, b = covered(start[some], nw[some], length)
+        raw[place], starts[place], ends[place] = own.raw[k], a.tolist(), b.tolist()
+    return raw, starts, ends
+
+
+def batches(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, int]:
+    """docs as a written table whose buckets hold whole batches: batch, uid, doc_id, text and rest (a struct of these columns).
+
+    Batches are made where the rows are read, so no text is shuffled.  Returned with the number of parts
+    that later steps are dealt to.
+    """
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length(F.col("`text`")))).first()[0] or 0
+    parts = max(parts_for(4 * total, BATCH), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
 
-    def made(batches: Iterator) -> Iterator:
+    def number(rows_: Iterator) -> Iterator:
         import pyarrow as pa
-
-        for batch in slices(batches, 1000):
-            out = []
-            s0s, nws = batch.column("s0"), batch.column("nw")
-            for k, (o, n_bytes, text) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("ord", "n_bytes", "text")), strict=True)):
-                if text is None:
-                    out.append((o, [0], [n_bytes], n_bytes, hashlib.sha256(b"").hexdigest()))
-                    continue
-                raw = text.encode()
-                a, b = (x.tolist() for x in covered(len(raw), s0s[k].values.to_numpy(), nws[k].values.to_numpy(), length))
-                kept = cut(raw, a, b)
-                out.append((o, a, b, len(raw) - len(kept), hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.string()), strict=True)] if out else [pa.array([], t) for t in (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.string())], ["ord", "starts", "ends", "n_removed", "kept_sha256"])
-
-    return both.mapInArrow(made, f"ord long, {SPANS}, n_removed long, kept_sha256 string")
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        batch, held, at = TaskContext.get().partitionId() << 24, 0, 0
+
+        def some_rows(x, first: int, last: int):
+            uid = np.arange(at - (last - first), at) + (batch << 18)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(last - first, batch)), pa.array(uid), *x.slice(first, last - first).columns], ["batch", "uid", *x.schema.names])
+
+        for x in rows_:
+            first = 0
+            for k, n in enumerate(pc.fill_null(pc.binary_length(x.column("text")), 0).to_pylist()):
+                if at and (held + n > BATCH or at == ROWS):
+                    if k > first:
+                        yield some_rows(x, first, k)
+                    batch, held, at, first = batch + 1, 0, 0, k
+                held, at = held + n, at + 1
+            if x.num_rows > first:
+                yield some_rows(x, first, x.num_rows)
+
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("uid", T.LongType()), *own.schema.fields])
+    name, path = f"quarrygrid_batches_{uuid.uuid4().hex}", work_dir(spark, "batches")
+    own.mapInArrow(number, schema).write.bucketBy(parts, "batch").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name).select("batch", "uid", "doc_id", "text", *(["rest"] if rest else []))
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, as those of any work table
+    return out, parts
+
+
+def cleaned(docs: DataFrame, rest: list[str], length: int, make, schema: T.StructType) -> DataFrame:
+    """What make(table, texts, starts, ends) returns for every batch: its rows, their texts' bytes and the runs that go."""
+    table, parts = batches(docs, rest)
+    texts = table.select("batch", "uid", "doc_id", "text")
+    codes = texts.groupBy("batch").applyInArrow(lambda t: _counted(t, length, parts), "bucket long, batch long, data binary").groupBy("bucket").applyInArrow(_told, "batch long, bucket long, data binary")
+    codes = saved(codes, "gram-codes")
+    members = texts.groupBy("batch").cogroup(codes.groupBy("batch")).applyInArrow(lambda t, heard: _members(t, heard, length, parts, parts), "part long, batch long, n long, data binary")
+    hits = members.groupBy("part").applyInArrow(lambda t: _found(t, length), "batch long, n long, data binary")
+    heard = codes.select("batch", "bucket", F.lit(None).cast("long").alias("n"), "data").unionByName(hits.select("batch", F.lit(None).cast("long").alias("bucket"), "n", "data"))
+    return table.groupBy("batch").cogroup(heard.groupBy("batch")).applyInArrow(lambda t, h: make(t, *_spans(t, h, length, parts)), schema)
 
 
 def digest(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of every row of docs (doc_id, text)."""
-    docs = numbered(renamed(docs, ["doc_id", "text"]))
-    found = spans(docs.select("ord", "text"), length)
-    # A text that loses nothing is not moved again: its checksum is taken where it is read.
-    own = docs.select("ord", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("whole"))
-    out = own.join(found, "ord", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("starts"), F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "starts", "ends")
+
+    def make(table, raw, starts, ends):
+        import pyarrow as pa
+
+        kept = [cut(r, a, b) for r, a, b in zip(raw, starts, ends, strict=True)]
+        columns = {
+            "doc_id": table.column("doc_id"),
+            "n_bytes": pa.array(map(len, raw), pa.int64()),
+            "n_removed": pa.array((len(r) - len(k) for r, k in zip(raw, kept, strict=True)), pa.int64()),
+            "n_spans": pa.array(map(len, starts), pa.int64()),
+            "kept_sha256": pa.array(hashlib.sha256(k).hexdigest() for k in kept),
+            "starts": pa.array(starts, pa.list_(pa.int64())),
+            "ends": pa.array(ends, pa.list_(pa.int64())),
+        }
+        return pa.table(columns)
+
+    return cleaned(docs, [], length, make, T.StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"))
 
 
 def deduplicated(docs: DataFrame, length: int = 100) -> DataFrame:
     """The rows of docs with the kept text; of a character cut by a span's edge the other bytes go too."""
-    own = numbered(carried(docs, ["doc_id", "text"]))
-    found = spans(own.select("ord", "text"), length).select("ord", "starts", "ends")
+    rest = [c for c in docs.columns if c != "text"]
 
-    def shorten(batches: Iterator) -> Iterator:
+    def make(table, raw, starts, ends):
         import pyarrow as pa
 
-        for batch in slices(batches, 1000):
-            texts = [t if a is None else cut(t.encode(), a, b).decode(errors="ignore") for t, a, b in zip(*(batch.column(n).to_pylist() for n in ("text", "starts", "ends")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "kept"])
+        texts = [t if not a else cut(r, a, b).decode(errors="ignore") for t, r, a, b in zip(table.column("text").to_pylist(), raw, starts, ends, strict=True)]
+        return pa.table({"rest": table.column("rest"), "text": pa.array(texts, pa.string())})
 
-    joined = own.join(found, "ord", "left").select("row", "text", "starts", "ends")
-    kind = T.StructType([joined.schema["row"], T.StructField("kept", T.StringType())])
-    return unpacked(joined.mapInArrow(shorten, kind), docs.columns, "kept")
+    schema = T.StructType([T.StructField("rest", docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")).schema["rest"].dataType), T.StructField("text", T.StringType())])
+    out = cleaned(docs, rest, length, make, schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])

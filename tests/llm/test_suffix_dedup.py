@@ -29,12 +29,12 @@ def found(df, length=100):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.digest(df, length).collect())
 
 
-@pytest.mark.parametrize("many", [(16, 2000), (0, 1), (2, 3)])
-def test_same_as_brute_force(spark, documents, many, monkeypatch):
-    # The limits decide which way a gram is settled, never what is found; local workers are forked and see them.
+@pytest.mark.parametrize(("many", "batch"), [(50_000, 1 << 24), (1, 1 << 16), (3, 1 << 15)])
+def test_same_as_brute_force(spark, documents, many, batch, monkeypatch):
+    # The limits decide how windows are dealt out, never what is found; local workers are forked and see them.
     small = documents.where("doc_id < 120").coalesce(1)
-    monkeypatch.setattr(S, "MANY_IN_BATCH", many[0])
-    monkeypatch.setattr(S, "MANY", many[1])
+    monkeypatch.setattr(S, "MANY", many)
+    monkeypatch.setattr(S, "BATCH", batch)
     assert found(small) == brute([(r.doc_id, r.text) for r in small.collect()], 100)
 
 
@@ -48,32 +48,65 @@ def test_random_overlaps(spark, seed):
     assert found(df) == brute(rows, 100)
 
 
-def test_suffix_columns_equal_brute_force():
-    """The collection's suffixes one column at a time, against comparing all windows."""
+@pytest.mark.parametrize("block", [1 << 15, 4])
+def test_suffix_columns_equal_brute_force(block, monkeypatch):
+    """The collections' suffixes one column at a time, against comparing all windows."""
+    monkeypatch.setattr(S, "BLOCK", block)
     r = random.Random(5)
     length = 40
-    data, group, off, pos = [], [], [], []
+    data, group, off, many = [], [], [], []
     for g in range(8):
         core = bytes(r.choice(b"ab") for _ in range(32))
         lefts = [bytes(r.choice(b"ab") for _ in range(8)) for _ in range(3)]
         for _ in range(r.randrange(1, 12)):
             left = r.choice(lefts)[r.randrange(8) :] if r.random() < 0.8 else b""
-            data.append(left + core + bytes(r.choice(b"ab") for _ in range(r.randrange(8 - min(len(left), 8), 9))))
-            group.append(g)
-            off.append(len(left))
-            pos.append(len(data))
-    keep = [k for k, d in enumerate(data) if len(d) >= length]
-    data, group, off = [data[k] for k in keep], np.array(group)[keep], np.array(off)[keep]
-    rank = np.arange(len(data))
-    at, t = S.common_windows(data, group, off, rank, length)
-    first, want = {}, set()
+            whole = left + core + bytes(r.choice(b"ab") for _ in range(r.randrange(8 - min(len(left), 8), 9)))
+            if len(whole) >= length:
+                data.append(whole)
+                group.append(g)
+                off.append(len(left))
+                many.append(r.random() < 0.2)
+    rank = np.array(r.sample(range(len(data)), len(data)))
+    flat, size = np.frombuffer(b"".join(data), np.uint8), np.array([len(d) for d in data])
+    got = list(zip(*(x.tolist() for x in S.repeated_windows(flat, size, np.array(group, np.uint64), np.array(off), rank, np.array(many), length)), strict=True))
+    places = {}
     for k, d in enumerate(data):
         for s in range(len(d) - length + 1):
-            key = (group[k], s - off[k], d[s : s + length])
-            if key in first:
-                want.add((k, s))
-            first.setdefault(key, k)
-    assert set(zip(at.tolist(), t.tolist(), strict=True)) == want
+            places.setdefault((group[k], s - off[k], d[s : s + length]), []).append((rank[k], k, s))
+    want = set()
+    for some in places.values():
+        (_, k, s), *rest = sorted(some)
+        want |= {(k, s, S.LATER)} if many[k] else set()
+        want |= {(k, s, S.ALL) for _, k, s in rest}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_equal_hashes_are_told_apart_by_bytes():
+    flat = np.frombuffer(b"a" * 110 + b"b" * 110, np.uint8)
+    c = {"doc": np.array([0, 1]), "start": np.array([0, 110]), "nw": np.array([11, 11]), "off": np.array([0, 0]), "key": np.ones(2, np.uint64), "seg": np.ones(2, np.uint64)}
+    assert S.entries(flat, c, 100)[1].tolist() == [True, True]
+
+
+def test_gram_of_every_batch(spark, monkeypatch):
+    """A passage that each of many batches has, at other places and in other company."""
+    monkeypatch.setattr(S, "BATCH", 2000)
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = noise(150)
+    rows = [(i, noise(r.randrange(300)) + passage + noise(r.randrange(300))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert S.batches(df, [])[0].select("batch").distinct().count() > 10
+    assert found(df) == brute(rows, 100)
+
+
+def test_very_long_text(spark):
+    """64 MB in one row: 16 MB of noise four times, with an odd number of bytes between; and a short text that has a part of it."""
+    part = np.random.default_rng(0).integers(97, 123, 1 << 24, np.uint8).tobytes().decode()
+    rows = [(1, part + "0" + part + "123" + part + "45678" + part), (2, "9" * 50 + part[5_000_000:5_000_500] + "8" * 50)]
+    got = {r.doc_id: r for r in S.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = (part + "0123" + "45678").encode()
+    assert (got[1].n_removed, got[1].n_spans, got[1].kept_sha256) == (3 << 24, 3, hashlib.sha256(kept).hexdigest())
+    assert (got[2].n_removed, got[2].n_spans) == (500, 1)
 
 
 def test_odd(spark, odd, none):
