@@ -34,6 +34,7 @@ the written table; a text of any length is one row of its batch, searched in ove
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
@@ -207,23 +208,35 @@ def _runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Columns:
-    """The order of suffixes, their transform and their common prefixes: sequential files of one round, read by the next."""
+    """The order of suffixes, their transform and their common prefixes: sequential files of one round, read by the next.
+
+    Files are written over and never cut short, so that no round waits for a disk.
+    """
 
     KINDS = (("order", np.int32), ("transform", np.uint8), ("prefixes", np.uint16))
 
     def __init__(self, folder: str):
-        self.folder, self.round = folder, 0
+        self.round, self.n = 0, 0
+        self.symbols = open(os.path.join(folder, "symbols"), "w+b")  # noqa: SIM115
+        self.files = [[open(os.path.join(folder, f"{name}-{k}"), "w+b", buffering=0) for name, _ in self.KINDS] for k in (0, 1)]  # noqa: SIM115
 
-    def _path(self, name: str, round_: int) -> str:
-        return os.path.join(self.folder, f"{name}-{round_ % 2}")
+    def close(self) -> None:
+        for file in (self.symbols, *self.files[0], *self.files[1]):
+            file.close()
 
     def read(self) -> list[np.ndarray]:
-        return [np.fromfile(self._path(name, self.round), kind) for name, kind in self.KINDS]
+        out = []
+        for (_, kind), file in zip(self.KINDS, self.files[self.round], strict=True):
+            file.seek(0)
+            out.append(np.empty(self.n, kind))
+            file.readinto(out[-1])
+        return out
 
     def write(self, *values: np.ndarray) -> None:
-        self.round += 1
-        for (name, kind), x in zip(self.KINDS, values, strict=True):
-            x.astype(kind, copy=False).tofile(self._path(name, self.round))
+        self.round, self.n = 1 - self.round, len(values[0])
+        for (_, kind), file, x in zip(self.KINDS, self.files[self.round], values, strict=True):
+            file.seek(0)
+            file.write(np.ascontiguousarray(x, kind))
 
 
 def repeated_windows(flat: np.ndarray, size: np.ndarray, group: np.ndarray, off: np.ndarray, rank: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,19 +249,19 @@ def repeated_windows(flat: np.ndarray, size: np.ndarray, group: np.ndarray, off:
     found = [(np.empty(0, np.int64),) * 3]
     base = np.cumsum(size) - size
     at = 0
-    with tempfile.TemporaryDirectory() as folder:
+    with tempfile.TemporaryDirectory() as folder, contextlib.closing(Columns(folder)) as state:
         while at < len(edges) - 1:
             # Whole collections, BLOCK documents together unless one has more.
             to = max(at + 1, int(np.searchsorted(edges, edges[at] + BLOCK, "right")) - 1)
             a, b = int(edges[at]), int(edges[to])
             own = slice(a, b)
-            for d, t, kind in _block(flat[base[a] : base[b - 1] + size[b - 1]], size[own], group[own], off[own], rank[own], many[own], length, folder):
+            for d, t, kind in _block(flat[base[a] : base[b - 1] + size[b - 1]], size[own], group[own], off[own], rank[own], many[own], length, state):
                 found.append((d + a, t, kind))
             at = to
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _block(flat: np.ndarray, size: np.ndarray, group: np.ndarray, off: np.ndarray, rank: np.ndarray, many: np.ndarray, length: int, folder: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _block(flat: np.ndarray, size: np.ndarray, group: np.ndarray, off: np.ndarray, rank: np.ndarray, many: np.ndarray, length: int, state: Columns) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     low = -off.astype(np.int64)
     high = low + size
     base = np.cumsum(size) - size - low
@@ -259,62 +272,62 @@ def _block(flat: np.ndarray, size: np.ndarray, group: np.ndarray, off: np.ndarra
     # Symbols by column, from the right, in the order of the documents: read once, in sequence.
     by_end = np.argsort(-high, kind="stable")
     entering = np.searchsorted(-high[by_end], np.arange(-last, -first + 1), "right")
-    with open(os.path.join(folder, "symbols"), "wb") as out:
-        for column in range(last - 1, first - 1, -1):
-            at = np.flatnonzero((low <= column) & (column < high))
-            out.write(flat[base[at] + column].tobytes())
-    state = Columns(folder)
+    symbols = state.symbols
+    symbols.seek(0)
+    for column in range(last - 1, first - 1, -1):
+        at = np.flatnonzero((low <= column) & (column < high))
+        symbols.write(flat[base[at] + column].tobytes())
+    symbols.seek(0)
     state.write(np.empty(0), np.empty(0), np.empty(0))
     held = np.zeros(len(size), np.uint8)
-    with open(os.path.join(folder, "symbols"), "rb") as symbols:
-        inside = np.flatnonzero((low < last) & (last - 1 < high))
+    inside = np.flatnonzero((low < last) & (last - 1 < high))
+    held[inside] = np.frombuffer(symbols.read(len(inside)), np.uint8)
+    for column in range(last - 1, first - 1, -1):
+        order, transform, lcp = state.read()
+        order, lcp = order.astype(np.int64), lcp.astype(np.int64)
+        # Documents whose last symbol this is: their empty suffixes stand before all others of the collection.
+        k = last - 1 - column
+        if len(come := np.sort(by_end[entering[k - 1] if k else 0 : entering[k]])):
+            both = np.concatenate([come, order])
+            by = np.argsort(group[both], kind="stable")
+            order, transform, lcp = both[by], np.concatenate([held[come], transform])[by], np.concatenate([np.zeros(len(come), np.int64), lcp])[by]
+            fresh = by < len(come)
+            lcp[fresh] = 0
+            lcp[1:][fresh[:-1]] = 0
+            lcp[np.append(True, group[order[1:]] != group[order[:-1]])] = 0
+        # The round: suffixes in the order of their new first symbol, ties as they were.
+        by = np.argsort(transform, kind="stable")
+        by = by[np.argsort(group[order[by]], kind="stable")]
+        p, q = by[:-1], by[1:]
+        same = (group[order[p]] == group[order[q]]) & (transform[p] == transform[q])
+        shared = np.zeros(len(order), np.int64)
+        if same.any():
+            pairs = np.column_stack([p[same] + 1, q[same] + 1]).ravel()
+            shared[1:][same] = 1 + np.minimum.reduceat(np.append(lcp, 0), pairs)[::2]
+        order, lcp = order[by], np.minimum(shared, length)
+        # Equal windows that begin in this column.
+        whole = high[order] - column >= length
+        if whole.any():
+            equal = lcp >= length
+            run = np.cumsum(~equal) - 1
+            heads = np.flatnonzero(~equal)
+            several = (np.diff(np.append(heads, len(order))) > 1)[run] & whole
+            least = np.minimum.reduceat(rank[order], heads)[run] == rank[order]
+            hit = several & ~least | whole & least & (many[order] > 0)
+            if hit.any():
+                d = order[hit]
+                yield d, column - low[d], np.where(least[hit], LATER, ALL)
+        # The transform of the next column.  A document goes when it has no symbol left, or when no window
+        # of it can reach `length` bytes in common any more; what closes ranks shares the least of what lay between.
+        inside = np.flatnonzero((low < column) & (column - 1 < high))
         held[inside] = np.frombuffer(symbols.read(len(inside)), np.uint8)
-        for column in range(last - 1, first - 1, -1):
-            order, transform, lcp = state.read()
-            order, lcp = order.astype(np.int64), lcp.astype(np.int64)
-            # Documents whose last symbol this is: their empty suffixes stand before all others of the collection.
-            k = last - 1 - column
-            if len(come := np.sort(by_end[entering[k - 1] if k else 0 : entering[k]])):
-                both = np.concatenate([come, order])
-                by = np.argsort(group[both], kind="stable")
-                order, transform, lcp = both[by], np.concatenate([held[come], transform])[by], np.concatenate([np.zeros(len(come), np.int64), lcp])[by]
-                fresh = by < len(come)
-                lcp[fresh] = 0
-                lcp[1:][fresh[:-1]] = 0
-                lcp[np.append(True, group[order[1:]] != group[order[:-1]])] = 0
-            # The round: suffixes in the order of their new first symbol, ties as they were.
-            by = np.argsort(transform, kind="stable")
-            by = by[np.argsort(group[order[by]], kind="stable")]
-            p, q = by[:-1], by[1:]
-            same = (group[order[p]] == group[order[q]]) & (transform[p] == transform[q])
-            shared = np.zeros(len(order), np.int64)
-            if same.any():
-                pairs = np.column_stack([p[same] + 1, q[same] + 1]).ravel()
-                shared[1:][same] = 1 + np.minimum.reduceat(np.append(lcp, 0), pairs)[::2]
-            order, lcp = order[by], np.minimum(shared, length)
-            # Equal windows that begin in this column.
-            whole = high[order] - column >= length
-            if whole.any():
-                equal = lcp >= length
-                run = np.cumsum(~equal) - 1
-                heads = np.flatnonzero(~equal)
-                several = (np.diff(np.append(heads, len(order))) > 1)[run] & whole
-                least = np.minimum.reduceat(rank[order], heads)[run] == rank[order]
-                hit = several & ~least | whole & least & (many[order] > 0)
-                if hit.any():
-                    d = order[hit]
-                    yield d, column - low[d], np.where(least[hit], LATER, ALL)
-            # The transform of the next column.  A document goes when it has no symbol left, or when no window
-            # of it can reach `length` bytes in common any more; what closes ranks shares the least of what lay between.
-            inside = np.flatnonzero((low < column) & (column - 1 < high))
-            held[inside] = np.frombuffer(symbols.read(len(inside)), np.uint8)
-            most = np.maximum(lcp, np.append(lcp[1:], 0)) if len(lcp) else lcp
-            stay = (low[order] < column) & ((many[order] > 0) | (most + column - low[order] >= length))
-            if not stay.all():
-                keep = np.flatnonzero(stay)
-                lcp = np.minimum.reduceat(lcp[: keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else lcp[:0]
-                order = order[keep]
-            state.write(order, held[order], lcp)
+        most = np.maximum(lcp, np.append(lcp[1:], 0)) if len(lcp) else lcp
+        stay = (low[order] < column) & ((many[order] > 0) | (most + column - low[order] >= length))
+        if not stay.all():
+            keep = np.flatnonzero(stay)
+            lcp = np.minimum.reduceat(lcp[: keep[-1] + 1], np.append(0, keep[:-1] + 1)) if len(keep) else lcp[:0]
+            order = order[keep]
+        state.write(order, held[order], lcp)
 
 
 def census(c: dict[str, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
