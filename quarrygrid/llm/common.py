@@ -17,8 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder takes its place if all of Spark runs in this process (master
+    local or local[...]); a cluster without a shared folder is an error.
+    """
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and the executors of {master} do not share a local folder")
         found = "file://" + tempfile.mkdtemp(prefix="quarrygrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -89,6 +96,17 @@ def by_source_rank(df: DataFrame, groups: Sequence[str], order: Sequence[str | C
     return out.drop("_part", "_row", "_before", *[f"_k{i}" for i in range(len(keys))])
 
 
+def told_apart(rows_: DataFrame, key: Sequence[str], number: str, nth: str) -> DataFrame:
+    """rows_ with `nth`, which numbers the rows that are equal in `key` from 0.
+
+    number: a whole number that differs from row to row, as monotonically_increasing_id() makes and a written
+    table keeps; its upper bits cut equal rows into parts of 2**20 at most, so that no task gathers a hot key.
+    """
+    if rows_.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+        return rows_.withColumn(nth, F.lit(0).cast("long"))
+    return by_source_rank(rows_, key, [number], F.shiftright(F.col(number), 20), nth)
+
+
 def hex_bucket(hexes: Column | str, parts: int) -> Column:
     """Which of `parts` even parts the hash falls in; hexes: lower-case hexadecimal digits of a hash, as text."""
     return F.floor(F.conv(F.substring(hexes, 1, 8), 16, 10).cast("double") * parts / float(1 << 32)).cast("long")

@@ -10,11 +10,11 @@ once; the sums are taken in whole numbers, so reruns agree to the last digit.
 Rates become copies by cells: a cell of n documents with rate r gets floor(r) copies of each, and
 the rest goes to whole documents, carried from cell to cell along the sizes, so that a source ends
 within one document of its target.  Which documents of a cell get the extra copy is decided by a
-hash of doc_id; no task ranks a whole cell or source.
+hash of doc_id, text and, for rows equal in both, a running number; no task ranks a whole cell or source.
 
 Defined results: a null text has size 0 and no words are taken of it; null is a source of its own,
-the last; a source without words has target 0; rows with equal doc_id count each on their own, equal
-hashes are ordered by the text's hash; an empty table gives no rows.
+the last; a source without words has target 0; rows with equal doc_id, and equal rows, count each on
+their own and have copies of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, by_source_rank, carried, even_parts, hex_bucket, renamed, saved, unpacked
+from .common import WORD, by_source_rank, carried, even_parts, hex_bucket, renamed, saved, told_apart, unpacked
 
 #: Sums of a Newton step are whole multiples of 1 / GRAIN words.
 GRAIN = 1024
@@ -48,15 +48,18 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most:
 
 def word_count(text: Column | str) -> Column:
     """Number of words of the text; null: 0."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"))), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _rate(lam: Column, most: float) -> Column:
     return F.when(F.col("full"), F.lit(most)).otherwise(F.least(F.lit(most), F.exp(lam * F.col("size") / F.col("mean"))))
 
 
-def multipliers(cells: DataFrame, sources: list[dict], most: float, steps: int = 60, near: float = 1e-9) -> list[float]:
-    """lambda of each source; cells: source_no, size, n; sources: number, words, docs, target."""
+def multipliers(cells: DataFrame, sources: list[dict], most: float, steps: int = 200, near: float = 1e-9) -> list[float]:
+    """lambda of each source; cells: source_no, size, n; sources: number, words, docs, target.
+
+    An error if the targets are not met within `steps` steps.
+    """
     spark = cells.sparkSession
     state = [{"lam": 0.0, "low": -math.inf, "high": math.inf, "done": s["words"] == 0 or s["target"] >= most * s["words"] or s["target"] == s["words"]} for s in sources]
     for _ in range(steps):
@@ -81,6 +84,8 @@ def multipliers(cells: DataFrame, sources: list[dict], most: float, steps: int =
                 step = 2 * high - 1 if low == -math.inf else 2 * low + 1 if high == math.inf else (low + high) / 2
             s["done"] = step == s["lam"]
             s["lam"] = step
+    if left := [k for k, s in enumerate(state) if not s["done"]]:
+        raise RuntimeError(f"the multipliers of {len(left)} sources have not settled in {steps} steps")
     return [round(s["lam"], 12) for s in state]
 
 
@@ -90,10 +95,13 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     Sources take the weights in turn, by code point, null last.  Their totals and multipliers are
     kept on the driver, so more than most_sources of them are refused.
     """
-    spark = docs.sparkSession
-    keys = renamed(docs, ["doc_id", "text", "source"])
-    keys = keys.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("_text"))
-    keys = saved(keys, "mix-keys")
+    keys = renamed(docs, ["doc_id", "text", "source"]).select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("number"))
+    return decided(saved(keys, "mix-keys"), weights, share, most, seed, most_sources).drop("number")
+
+
+def decided(keys: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 1, most_sources: int = 10_000) -> DataFrame:
+    """keys (doc_id, source, size, text_hash and number, see told_apart; written before) with the columns of mixed()."""
+    spark = keys.sparkSession
     totals = keys.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).limit(most_sources + 1).collect()
     if len(totals) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -111,25 +119,23 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     so_far = F.sum("_more").over(W.partitionBy("source_no").orderBy("size").rowsBetween(W.unboundedPreceding, 0))
     cells = cells.withColumn("_up_to", F.floor(so_far + 0.5)).withColumn("extra", F.col("_up_to") - F.lag("_up_to", 1, 0).over(W.partitionBy("source_no").orderBy("size")))
     cells = cells.select(F.col("source_no").alias("_no"), F.col("size").alias("_size"), "rate", "whole", "extra")
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    keys = keys.withColumn("_h", h)
+    keys = told_apart(keys, ["doc_id", "source", "text_hash"], "number", "nth")
+    words = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "text_hash", "nth")]
+    keys = keys.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), *words)))
     parts = even_parts(sum(s["docs"] for s in sources))
-    keys = by_source_rank(keys, ["source_no", "size"], ["_h", "_text"], hex_bucket("_h", parts), "_rank")
+    keys = by_source_rank(keys, ["source_no", "size"], ["_h"], hex_bucket("_h", parts), "_rank")
     out = keys.join(cells, (F.col("source_no") == F.col("_no")) & (F.col("size") == F.col("_size")))
     copies = (F.col("whole") + (F.col("_rank") < F.col("extra")).cast("long")).cast("int")
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", F.col("_text").alias("text_hash"))
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken", "text_hash", "number")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix has copies of it.
 
-    Rows are found again by doc_id, source and a hash of the text; equal rows share their copies, any
-    odd one rounded up.
+    Rows are numbered and written first; each finds its own copies by that number, equal rows too.
     """
-    key = ["doc_id", "source", "text_hash"]
-    places = mixed(docs, **options).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    places = places.where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in key], F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("times"))
-    own = carried(docs, ["doc_id", "source", "text"]).withColumn("hash", F.xxhash64("text")).drop("text")
-    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("hash") == F.col("_text_hash"))
-    made = own.join(places, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    own = carried(docs, ["doc_id", "source", "text"])
+    own = saved(own.select("row", "doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("number")), "mix-rows")
+    places = decided(own.drop("row"), **options).where("copies > 0").select("number", "copies")
+    made = own.select("row", "number").join(places, "number").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return unpacked(made, docs.columns)

@@ -59,6 +59,31 @@ def test_rows_come_as_often_as_taken(documents, odd):
     assert mixing.mixed_rows(odd).columns == odd.columns
 
 
+def test_equal_rows_have_their_own_copies(spark):
+    """200 rows and 200 equal ones, of two sources: words out are those that the mix takes, source by source."""
+    rows = [(i, "w " * (1 + i % 37), "a") for i in range(200)] + [(1000 + i % 2, "w " * (5 + i % 2), "b") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    taken, out = Counter(), Counter()
+    for r in mixing.mixed(df).collect():
+        taken[r.source] += r.taken
+    made = mixing.mixed_rows(df).collect()
+    for r in made:
+        out[r.source] += len(r.text.split())
+    assert out == taken and check(df) == check(df.repartition(2))
+    assert len({(r.doc_id, r.source) for r in made}) <= 202
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_one_doc_id_for_all(spark, ids):
+    check(spark.createDataFrame([(ids, "w " * (1 + i % 50), "ab"[i % 2]) for i in range(500)], "doc_id long, text string, source string"))
+
+
+def test_unsolved_is_an_error(spark):
+    cells = spark.createDataFrame([(0, 5, 10), (0, 9, 10)], "source_no long, size long, n long")
+    with pytest.raises(RuntimeError, match="settled"):
+        mixing.multipliers(cells, [{"words": 140, "docs": 20, "target": 90.0}], 2.0, steps=1)
+
+
 def test_least_divergence(spark):
     """The tilted rates have less relative entropy than other rates that meet the target."""
     import numpy as np
