@@ -11,18 +11,16 @@ fractional rank), each part is ranked on its own, and the sizes of earlier parts
 keys are shuffled, never texts.
 
 Defined results: a null text has size 8 and checksum 0; null sources form one stratum; rows with
-equal doc_id are placed each on its own (ties of the hash by the text's checksum and size); an empty
-table gives no rows; more shards than rows leave shards empty.
+equal doc_id are placed each on its own: the shuffle is by doc_id, checksum, size and, for rows equal in
+these, a running number, so no key is hot; an empty table gives no rows; more shards than rows leave shards empty.
 """
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_source_rank, carried, even_parts, hex_bucket, renamed, saved
+from .common import by_source_rank, carried, even_parts, hex_bucket, renamed, saved, told_apart
 
 
 def size_of(text: str) -> Column:
@@ -49,35 +47,33 @@ def interleaved(keys: DataFrame, group: str, shuffle: Column, tie: list[str], n:
     return out.drop("_h", "_f", "_rank", "_of")
 
 
-def shard(docs: DataFrame, shards: int = 24, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, text_crc32, shard and slot of every row of docs (doc_id, text, source)."""
-    keys = renamed(docs, ["doc_id", "text", "source"]).select(
-        "doc_id",
-        "source",
-        size_of("text"),
-        crc_of("text"),
-    )
-    keys = saved(keys, "shard-keys")
+KEY = ["doc_id", "source", "size", "text_crc32"]
+
+
+def placed(keys: DataFrame, shards: int, seed: int) -> DataFrame:
+    """keys (KEY and number, see told_apart) with shard and slot."""
     n = keys.count()
-    shuffle = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    out = interleaved(keys, "source", shuffle, ["doc_id", "text_crc32", "size"], n)
+    keys = told_apart(keys, KEY, "number", "nth")
+    words = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("doc_id", "text_crc32", "size", "nth")]
+    out = interleaved(keys, "source", F.md5(F.concat_ws(":", F.lit(seed), *words)), ["doc_id", "text_crc32", "size", "nth"], n)
     which = F.expr(f"cast(position * {shards} div {max(n, 1)} as int)")
     first = F.expr(f"(shard * cast({n} as bigint) + {shards - 1}) div {shards}")
-    return out.withColumn("shard", which).withColumn("slot", F.col("position") - first).drop("position")
+    return out.withColumn("shard", which).withColumn("slot", F.col("position") - first).drop("position", "nth")
+
+
+def shard(docs: DataFrame, shards: int = 24, seed: int = 1) -> DataFrame:
+    """doc_id, source, size, text_crc32, shard and slot of every row of docs (doc_id, text, source)."""
+    keys = renamed(docs, ["doc_id", "text", "source"]).select("doc_id", "source", size_of("text"), crc_of("text"), F.monotonically_increasing_id().alias("number"))
+    return placed(saved(keys, "shard-keys"), shards, seed).drop("number")
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 24, seed: int = 1) -> None:
     """The rows of docs with all their columns in folder/_shard=K, in slot order within files.
 
-    Rows are found again by doc_id, source, text checksum and size; rows equal in those are
-    interchangeable and take their slots in any order.
+    Rows are numbered and written first; they find their slots by that number.
     """
-    key = ["doc_id", "text_crc32", "size", "source"]
-    by = Window.partitionBy(*key)
-    places = shard(docs, shards, seed).withColumn("nth", F.row_number().over(by.orderBy("shard", "slot")))
-    places = places.select(*[F.col(c).alias(f"_{c}") for c in [*key, "nth"]], F.col("shard").alias("_shard"), "slot")
-    own = carried(docs, ["doc_id", "source", "text"]).select("row", "doc_id", "source", size_of("text"), crc_of("text"))
-    own = own.withColumn("nth", F.row_number().over(by.orderBy(F.lit(0))))
-    on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*key, "nth"]])
-    out = own.join(places, on).repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot")
+    own = carried(docs, ["doc_id", "source", "text"]).select("row", "doc_id", "source", size_of("text"), crc_of("text"), F.monotonically_increasing_id().alias("number"))
+    own = saved(own, "shard-rows")
+    places = placed(own.drop("row"), shards, seed).select("number", F.col("shard").alias("_shard"), "slot")
+    out = own.select("row", "number").join(places, "number").repartitionByRange("_shard", "slot").sortWithinPartitions("_shard", "slot")
     out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], "_shard").write.partitionBy("_shard").parquet(folder)

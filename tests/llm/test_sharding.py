@@ -29,6 +29,22 @@ def test_hot_source(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string, source string"), 24)
 
 
+def test_one_doc_id_for_all(spark):
+    for rows in ([(None, f"text {i % 700}", "a") for i in range(2000)], [(7, "same", "ab"[i % 2]) for i in range(2000)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        check(df, 24)
+
+
+def test_equal_rows_are_told_apart(spark):
+    from pyspark.sql import functions as F
+
+    from quarrygrid.llm.common import saved, told_apart
+
+    df = saved(spark.range(5000).select((F.col("id") % 3).alias("k"), F.monotonically_increasing_id().alias("number")), "test-rows")
+    got = told_apart(df, ["k"], "number", "nth").collect()
+    assert all(sorted(r.nth for r in got if r.k == k) == list(range(sum(r.k == k for r in got))) for k in range(3))
+
+
 def test_odd(odd, none):
     check(odd, 5)
     check(odd, 24)
