@@ -1,6 +1,6 @@
 """Connected components of links, by alternating large-star and small-star rounds.
 
-Every partition first contracts its own links to stars (union-find over what it holds), then each
+Every batch of links is first contracted to stars (union-find over what it holds), then each
 round lets a node tell all its larger neighbours, and itself, its smallest neighbour.  A round is
 an aggregation with map-side combine and a join whose crowded keys Spark splits; its result is
 written to the shared folder, so lineage stays short and no executor's loss undoes it.  Nothing
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, slices
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -34,19 +34,15 @@ def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """u > v: stars that connect what each partition of edges (a, b) connects."""
+    """u > v: stars that connect what each batch of edges (a, b) connects."""
 
     def local(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def pairs() -> Iterator[tuple[int, int]]:
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
-        trees = forest(pairs())
-        u, v = list(trees), list(trees.values())
-        for k in range(0, len(u), 100_000):
-            yield pa.RecordBatch.from_pydict({"u": pa.array(u[k : k + 100_000], pa.int64()), "v": pa.array(v[k : k + 100_000], pa.int64())})
+        # As many links at a time as a dictionary holds well; the rounds connect what these leave apart.
+        for batch in slices(batches, 200_000):
+            trees = forest(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            yield pa.RecordBatch.from_pydict({"u": pa.array(list(trees), pa.int64()), "v": pa.array(list(trees.values()), pa.int64())})
 
     return edges.select("a", "b").mapInArrow(local, "u long, v long")
 

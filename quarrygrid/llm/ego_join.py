@@ -33,6 +33,8 @@ from .components import components, forest
 
 #: Slack of the skipping test, for the rounding of distances.
 SLACK = 1e-6
+#: Partial sums of the covariance that are left for the last level, and numbers in a piece of one.
+TREE, PIECE = 64, 1 << 16
 #: A grid cell is no narrower, so that a unit vector's coordinate has a bounded number of cells.
 LEAST_SIDE = 0.05
 
@@ -48,6 +50,7 @@ def axes(vectors: DataFrame, leading: int) -> dict[int, np.ndarray]:
 
     def moments(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
         sums: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -57,17 +60,30 @@ def axes(vectors: DataFrame, leading: int) -> dict[int, np.ndarray]:
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 n, s, c = sums.get(d, (0, 0.0, 0.0))
                 sums[d] = n + len(x), s + x.sum(axis=0), c + x.T @ x
+        part = TaskContext.get().partitionId() % TREE
         for d, (n, s, c) in sums.items():
-            yield pa.RecordBatch.from_pydict({"d": [d], "n": [float(n)], "s": [s.tolist()], "c": [c.ravel().tolist()]})
+            flat = np.concatenate([c.ravel(), s, [float(n)]])
+            for k in range(0, len(flat), PIECE):
+                yield pa.RecordBatch.from_pydict({"d": [d], "piece": [k // PIECE], "part": [part], "x": [flat[k : k + PIECE].tolist()]})
 
+    def added(table):
+        import pyarrow as pa
+
+        x = sum(np.array(row.values) for row in table.column("x"))
+        return pa.table({"d": table.column("d")[:1], "piece": table.column("piece")[:1], "part": table.column("part")[:1], "x": [x.tolist()]})
+
+    # Sums meet piece by piece in two levels, TREE of them in the second; one matrix a length reaches the driver.
+    kind = "d long, piece long, part long, x array<double>"
+    sums = vectors.select("v", "d").mapInArrow(moments, kind).groupBy("d", "piece", "part").applyInArrow(added, kind)
+    sums = sums.withColumn("part", F.lit(0).cast("long")).groupBy("d", "piece", "part").applyInArrow(added, kind)
     total: dict[int, list] = {}
-    for r in sorted(vectors.select("v", "d").mapInArrow(moments, "d long, n double, s array<double>, c array<double>").collect(), key=lambda r: (r.d, r.s)):
-        t = total.setdefault(r.d, [0.0, 0.0, 0.0])
-        for k, x in enumerate((r.n, np.array(r.s), np.array(r.c))):
-            t[k] = t[k] + x
+    for r in sorted(sums.collect(), key=lambda r: (r.d, r.piece)):
+        total.setdefault(r.d, []).append(np.array(r.x))
     out = {}
-    for d, (n, s, c) in total.items():
-        values, turned = np.linalg.eigh(c.reshape(d, d) / n - np.outer(s / n, s / n))
+    for d, pieces in total.items():
+        flat = np.concatenate(pieces)
+        n, s, c = flat[-1], flat[d * d : -1], flat[: d * d].reshape(d, d)
+        values, turned = np.linalg.eigh(c / n - np.outer(s / n, s / n))
         out[d] = np.round(turned[:, np.argsort(-values)[:leading]], 12)
     return out
 
@@ -134,10 +150,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, leading: int =
     fit = F.coalesce(F.col("label").isNotNull() & F.forall("v", finite) & F.exists("v", lambda y: y != 0), F.lit(False))
     # Zeros of either sign are one value.
     own = own.withColumn("v", F.when(fit, F.transform("v", lambda y: y + F.lit(0.0)))).select("vec_id", "label", "v")
-    own = own.withColumn("key", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")))
+    # 128 bits tell vectors apart where rows meet; within the join a vector is a running number.
+    own = own.withColumn("h1", F.xxhash64("label", "v")).withColumn("h2", F.xxhash64(F.lit(1), "v", "label"))
     own = saved(own, "vectors")
-    distinct = own.where("v is not null").groupBy("label", "v", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("node")).withColumn("d", F.size("v"))
-    distinct = saved(distinct, "distinct-vectors")
+    distinct = own.where("v is not null").groupBy("label", "v", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("node")).withColumn("d", F.size("v"))
+    distinct = saved(distinct.withColumn("key", F.monotonically_increasing_id()), "distinct-vectors")
     along = axes(distinct, leading)
 
     def celled(batches: Iterator) -> Iterator:
@@ -154,15 +171,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, leading: int =
                 cell[at] = ["".join(f"{int(c) + 500:03d}" for c in row) for row in grid]
             yield batch.append_column("cell", pa.array(cell, pa.string()))
 
-    schema = "label int, v array<double>, key long, copies long, node long, d int, cell string"
     label_type = dict(distinct.dtypes)["label"]
-    placed = distinct.mapInArrow(celled, schema.replace("label int", f"label {label_type}"))
-    # Intervals of the epsilon grid order: cells in order, a crowded cell cut by the hash of the vector.
-    n_cells = W.partitionBy("label", "d").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
+    placed = distinct.select("label", "v", "key", "copies", "h1", "d").mapInArrow(celled, f"label {label_type}, v array<double>, key long, copies long, h1 long, d int, cell string")
+    # Intervals of the epsilon grid order: cells in order, a crowded cell cut by the hash of the vector.  Vectors
+    # before a cell: those of earlier columns, which are cells alike in the first three dimensions and bounded
+    # in number, and those of earlier cells of its column.
     placed = saved(placed, "cells")
-    cells = placed.groupBy("label", "d", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(n_cells), F.lit(0)))
+    earlier = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    cells = placed.groupBy("label", "d", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("column", F.substring("cell", 1, 9))
+    columns = cells.groupBy("label", "d", "column").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier("label", "d", "column")), F.lit(0)))
+    cells = cells.withColumn("in_column", F.coalesce(F.sum("n").over(earlier("label", "d", "column", "cell")), F.lit(0)))
+    cells = cells.join(columns.drop("n"), ["label", "d", "column"]).withColumn("before", F.col("before") + F.col("in_column"))
     cells = cells.select(F.col("label").alias("_l"), F.col("d").alias("_d"), F.col("cell").alias("_c"), "n", "before")
-    spread = F.pmod(F.col("key"), F.lit(1 << 20)).cast("double") / (1 << 20)
+    spread = F.pmod(F.col("h1"), F.lit(1 << 20)).cast("double") / (1 << 20)
     placed = placed.join(cells, (F.col("label") == F.col("_l")) & (F.col("d") == F.col("_d")) & (F.col("cell") == F.col("_c")))
     placed = placed.withColumn("block", F.floor((F.col("before") + F.floor(spread * F.col("n"))) / interval).cast("long"))
 
@@ -225,7 +246,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, leading: int =
     counts = found.groupBy("key").agg(F.sum("more").alias("more"))
     edges = found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b"))
     classes = components(distinct.select("key", "node"), "key", "node", edges)
-    classes = classes.join(distinct.select("key", "copies"), "key").join(counts, "key", "left")
-    out = own.select("vec_id", "label", "key").join(classes, "key", "left")
+    classes = classes.join(distinct.select("key", "copies", "h1", "h2"), "key").join(counts, "key", "left")
+    # A vector that takes no part meets nothing here: its hashes are left out.
+    fit = lambda h: F.when(F.col("v").isNotNull(), F.col(h)).alias(h)
+    out = own.select("vec_id", "label", fit("h1"), fit("h2")).join(classes, ["h1", "h2"], "left")
     out = out.select("vec_id", "label", F.coalesce(F.col("copies") - 1 + F.coalesce("more", F.lit(0)), F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -52,6 +52,14 @@ def test_clusters_copies_and_odd_vectors(spark, interval):
     assert found(df, interval=interval) == brute(rows)
 
 
+def test_one_label(spark):
+    """All vectors under one label, in many cells and crowded ones."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(400, 12)), rng.normal(size=12) + 0.3 * rng.normal(size=(300, 12))])
+    rows = [(k, [float(v) for v in y.astype(np.float32)], 3) for k, y in enumerate(x)]
+    assert found(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(6), interval=32) == brute(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert found(df) == {}
