@@ -6,7 +6,7 @@ its language; where the margin to the next is narrow, the answer is rejected.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; equal sizes go to the
 language that is first by code point, with score 1 / languages at most; rows with equal doc_id are
-judged each on its own; with no training text at all every row is `und`; an empty table gives no rows.
+judged each on its own, and null doc_ids train as others do; with no training text at all every row is `und`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,33 +17,42 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import renamed, rows
 
-def sample(docs: DataFrame, trains: Column, per_language: int = 120, most_languages: int = 200, length: int = 20_000) -> dict[str, list[str]]:
-    """Training texts by language: of each, the per_language rows that come first by a hash of doc_id.
 
-    What reaches the driver is bounded by per_language * most_languages texts of `length` characters
-    at most; more than most_languages languages are an error.
+def sample(docs: DataFrame, trains: Column, per_language: int = 120, most_languages: int = 200, each: int = 2048) -> dict[str, list[str]]:
+    """Training texts by language: of each, the per_language rows that come first by a hash of doc_id and text.
+
+    Of a text longer than `each` characters, as many are taken from a place that the hash chooses.  One pass
+    over docs: Spark cuts every language to per_language rows before they are shuffled.  What reaches the
+    driver is bounded by per_language * most_languages * each characters; more than most_languages languages
+    are an error.
     """
     known = renamed(docs, ["doc_id", "text", "lang"]).where(trains & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r.lang for r in known.select("lang").distinct().limit(most_languages + 1).collect())
-    if len(langs) > most_languages:
+    h = F.xxhash64("doc_id", "text")
+    place = F.pmod(h, F.greatest(F.lit(1), F.char_length("text") - (each - 1))).cast("int") + 1
+    known = known.select("lang", h.alias("h"), F.col("doc_id").alias("id"), F.col("text").substr(place, F.lit(each)).alias("piece"))
+    first = known.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "piece"))).where(F.col("nth") <= per_language)
+    out: dict[str, list[tuple[int, str]]] = {}
+    found = first.select("lang", "nth", "piece").limit(most_languages * per_language + 1).collect()
+    for r in found:
+        out.setdefault(r.lang, []).append((r.nth, r.piece))
+    if len(out) > most_languages or len(found) > most_languages * per_language:
         raise ValueError(f"more than {most_languages} languages")
-    out = {}
-    for lang in langs:
-        ids = [r.doc_id for r in known.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language).collect()]
-        texts = known.where((F.col("lang") == lang) & F.col("doc_id").isin([i for i in ids if i is not None])).select("doc_id", F.substring("text", 1, length).alias("text"))
-        out[lang] = [r.text for r in texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language).collect()]
-    return out
+    return {lang: [piece for _, piece in sorted(out[lang])] for lang in sorted(out)}
 
 
-def dictionaries(texts: dict[str, list[str]], size: int = 1 << 16, each: int = 1 << 11) -> dict[str, bytes]:
-    """Up to `size` bytes of every language, at most `each` of a text."""
+def dictionaries(texts: dict[str, list[str]], size: int = 1 << 16) -> dict[str, bytes]:
+    """Up to `size` bytes of every language, an even share of each text; a language without a byte has none."""
     out = {}
     for lang, some in texts.items():
-        content = b"\n".join(x.lower().encode()[:each] for x in some)[:size]
-        if len(content) >= 8:
+        share = size // max(1, len(some)) + 1
+        content = b"\n".join(x.lower().encode()[:share] for x in some)[:size]
+        # The library takes no dictionary under eight bytes.
+        content = content * -(-8 // len(content)) if 0 < len(content) < 8 else content
+        if content.strip():
             out[lang] = content
     return out
 

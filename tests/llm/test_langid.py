@@ -41,5 +41,26 @@ def test_narrow_margins_are_rejected(spark):
 
 
 def test_bounds_of_training_are_parameters(documents):
-    short = langid.sample(documents, F.lit(True), per_language=3, length=10)
+    short = langid.sample(documents, F.lit(True), per_language=3, each=10)
     assert all(len(some) <= 3 and all(len(x) <= 10 for x in some) for some in short.values())
+
+
+def test_same_as_plain_zstandard(spark, documents):
+    """Every document's language by the library alone, a fresh compressor each time."""
+    import zstandard
+
+    dicts = langid.dictionaries(langid.sample(documents, F.lit(True)))
+    got = {r.doc_id: r.lang_best for r in langid.identified(documents, dicts).collect()}
+    for r in documents.collect():
+        sizes = []
+        for lang in sorted(dicts):
+            own = zstandard.ZstdCompressionDict(dicts[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            frame = zstandard.ZstdCompressor(level=9, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(r.text.lower().encode())
+            sizes.append((len(frame), lang))
+        assert got[r.doc_id] == (min(sizes)[1] if any(c.isalpha() for c in r.text) else "und")
+
+
+def test_rows_without_an_id_train(spark):
+    df = spark.createDataFrame([(None, "ein haus am see " * 300, "de"), (None, "ja", "xx"), (1, "a house by the lake", "en")], "doc_id long, text string, lang string")
+    texts = langid.sample(df, F.lit(True))
+    assert set(texts) == set(langid.dictionaries(texts)) == {"de", "xx", "en"} and len(texts["de"][0]) == 2048
