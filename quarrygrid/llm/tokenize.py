@@ -93,17 +93,17 @@ def load(path: str):
 class MemoEncoder:
     """Encodes texts with the tokenizer file at `path`.
 
-    max_parts bounds the memo; a full memo is emptied, so memory does not
+    max_parts and max_chars (of parts new to it) bound the memo; a full memo is emptied, so memory does not
     grow with the texts.  Empty texts have no ids.
     """
 
-    def __init__(self, path: str, max_parts: int = 600_000):
+    def __init__(self, path: str, max_parts: int = 600_000, max_chars: int = 1 << 26):
         import json
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.byte_level = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
-        self.tokenizer, self.max_parts = load(path), max_parts
+        self.tokenizer, self.max_parts, self.max_chars = load(path), max_parts, max_chars
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
@@ -111,6 +111,7 @@ class MemoEncoder:
         self.clear()
 
     def clear(self) -> None:
+        self.chars = 0
         self.parts, self.part_ids = _Memo(), _Flat()
         self.tokens, self.token_ids = _Memo(1), _Flat()
         self.tokens[" "] = 0
@@ -118,7 +119,7 @@ class MemoEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
-        if self.parts.next > self.max_parts:
+        if self.parts.next > self.max_parts or self.chars > self.max_chars:
             self.clear()
         keys, counts = [], []
         for text in texts:
@@ -144,6 +145,7 @@ class MemoEncoder:
         return ["  " + first, *rest]
 
     def learn(self) -> None:
+        self.chars += sum(map(len, self.parts.new))
         if self.byte_level:
             self.learn_bytes()
             return

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import renamed, rows
 
@@ -146,18 +147,18 @@ def fit(texts: list[str], labels: list[int], buckets: int = 1 << 18, dim: int =
 
 
 class Scorer:
-    """Scores texts; remembers a bounded number of words."""
+    """Scores texts; remembers a bounded number of words, with a bounded number of characters."""
 
-    def __init__(self, model: Model, most_words: int = 1_500_000):
-        self.model, self.table, self.most = model, model.table(), most_words
+    def __init__(self, model: Model, most_words: int = 1_500_000, most_chars: int = 1 << 26):
+        self.model, self.table, self.most, self.most_chars = model, model.table(), most_words, most_chars
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.z = np.empty(0)
+        self.z, self.chars = np.empty(0), 0
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        if len(self.numbers) > self.most:
+        if len(self.numbers) > self.most or self.chars > self.most_chars:
             self.clear()
         known, new, number = len(self.numbers), [], self.numbers
         docs = []
@@ -170,6 +171,7 @@ class Scorer:
             docs.append(np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)))
         if new:
             words = [word_of(p) for p in new]
+            self.chars += sum(map(len, new))
             ids, n = subwords(words, len(self.table))
             z = means(self.table[ids], n)
             z[[not w for w in words]] = np.nan
@@ -189,19 +191,22 @@ def scorer(model: Model) -> Scorer:
     return Scorer(model)
 
 
-def sample(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = 2500) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = 2500, most_bytes: int = 1 << 25, longest: int = 1 << 20) -> tuple[list[str], list[int]]:
     """Texts and labels of at most per_class documents of each class, the first by a hash of doc_id.
 
-    A document with several labels counts as toxic if one of them says so.  Ids are chosen before any
-    text is moved; what reaches the driver is bounded by 2 * per_class texts.
+    A document with several labels counts as toxic if one of them says so.  Ids are chosen before any text is
+    moved.  What reaches the driver is bounded by 2 * most_bytes: of a class the first texts that fit, none of
+    them over `longest` bytes.
     """
     marks = renamed(labels, ["doc_id", "toxic"]).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for k in (0, 1):
         some = marks.where((F.col("toxic") == k) & trains).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionByName(some)
-    picked = renamed(docs, ["doc_id", "text"]).where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    found = sorted(picked.collect())
+    texts = renamed(docs, ["doc_id", "text"]).where(F.octet_length("text") <= longest)
+    picked = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    so_far = F.sum(F.octet_length("text")).over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    found = sorted(picked.withColumn("held", so_far).where(F.col("held") <= most_bytes).select("doc_id", "text", "toxic").collect())
     return [r.text for r in found], [r.toxic for r in found]
 
 

@@ -44,6 +44,22 @@ def test_query(spark, small):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
 
 
+def test_query_on_held_out_labels(spark):
+    """305 toxic texts train here; some of the held-out ones have no word, nor a like one, that these have."""
+    sf = "/root/testdata/sf0.1"
+    got = queries.op6_toxicity_subwords(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    toxic, clean = ([r for r in got if r.toxic == k] for k in (1, 0))
+    assert np.mean([r.predicted for r in toxic]) > 0.6 and np.mean([r.predicted for r in clean]) < 0.02
+    assert np.mean([a.score > b.score for a in toxic for b in clean]) > 0.9
+
+
+def test_bytes_of_training_are_bounded(spark):
+    docs = spark.createDataFrame([(k, f"{k} " * (1 + 100 * (k == 9))) for k in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, F.lit(True), most_bytes=5, longest=100)
+    assert len(texts) == 4 and sorted(y) == [0, 0, 1, 1] and all(len(t) == 2 for t in texts)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark, small):
     docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
