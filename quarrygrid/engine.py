@@ -6,6 +6,7 @@ version of a dataset.
 
 from __future__ import annotations
 
+import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import replace
@@ -19,16 +20,23 @@ from quarrygrid.operators import mutations
 from quarrygrid.operators.predicates import PRESETS
 from quarrygrid.plans import services, views
 from quarrygrid.sources import ingest, sinks
+from quarrygrid.streaming import refresh
 
 #: Fixed value: aggregate results that are remembered.
 CACHED = 8
 
 
 class Engine:
-    """now: a fixed time for date presets (else the clock); compact: changes after which a dataset's lineage is cut."""
+    """now: a fixed time for date presets (else the clock).
 
-    def __init__(self, spark: SparkSession, now=None, compact: int = 20):
-        self.spark, self.now, self.compact = spark, now, compact
+    Changed rows wait on the driver, `most_pending` of them at most, and are joined with the snapshot where
+    it is read; beyond that, and after `compact` changes given as frames, the dataset is written to the folder in
+    spark.checkpoint.dir and read back, so that no plan grows with the number of changes.
+    """
+
+    def __init__(self, spark: SparkSession, now=None, compact: int = 4, most_pending: int = 10_000):
+        self.spark, self.now, self.compact, self.most_pending = spark, now, compact, most_pending
+        self.stored: dict[str, tuple[DataFrame, mutations.Pending, int]] = {}
         self.datasets: dict[str, Dataset] = {}
         self.cache: OrderedDict[str, Any] = OrderedDict()
         self.listeners: list[Callable[[Change], None]] = []
@@ -41,6 +49,7 @@ class Engine:
         if bad := sorted(set(kinds.values()) - set(S.SPARK_TYPES)):
             raise RequestError(f"no column type {', '.join(bad)}")
         version = self.datasets[name].version + 1 if name in self.datasets else 0
+        self.stored.pop(name, None)
         self.datasets[name] = Dataset(name, ingest.empty(self.spark, kinds), kinds, key, dict(calc or {}), list(tree), weight, tuple(default_measures), version)
         self.cache.clear()
         return 0
@@ -52,7 +61,11 @@ class Engine:
     def dataset(self, name: str) -> Dataset:
         if name not in self.datasets:
             raise RequestError(f"no dataset {name!r}")
-        return self.datasets[name]
+        ds = self.datasets[name]
+        if ds.frame is None:
+            snapshot, pending, _ = self.stored[name]
+            ds.frame = pending.over(snapshot)
+        return ds
 
     def load(self, name: str, rows: DataFrame | Sequence[Mapping[str, Any]], order: str | None = None, unique: bool = False) -> Dataset:
         """Replaces the rows.  Equal keys collapse to the last row, unless the caller knows keys to be unique."""
@@ -70,23 +83,53 @@ class Engine:
             frame = mutations.upserted(frame, mutations.patch_frame(self.spark, rows, ds.schema, ds.key), ds.key) if ds.key else ingest.from_rows(self.spark, rows, ds.schema, None)
         return self._changed(ds, frame)
 
-    def _changed(self, ds: Dataset, frame: DataFrame, keys: Sequence[Any] | None = None) -> Dataset:
-        """A new version.  keys: the rows that changed, where a view can be patched; None asks for a full refresh."""
-        new = replace(ds, frame=frame, version=ds.version + 1)
-        if self.compact and new.version % self.compact == 0 and self.spark.conf.get("spark.checkpoint.dir", None):
-            new.frame = frame.checkpoint()
+    def _changed(self, ds: Dataset, frame: DataFrame | None, keys: Sequence[Any] | None = None) -> Dataset:
+        """A new version.  keys: the rows that changed, where a view can be patched; None asks for a full refresh.
+
+        frame: the rows; None: the snapshot with what is pending.
+        """
+        new = replace(ds, frame=frame, version=ds.version + 1, rows=None)
+        snapshot, pending, frames = self.stored.get(ds.name, (None, None, 0))
+        if frame is not None:
+            frames += 1
+            if self.compact and frames >= self.compact:
+                new.frame, frames = self._written(ds.name, frame), 0
+            self.stored[ds.name] = (new.frame, mutations.Pending(ds.schema, ds.key), frames)
+        elif len(pending) > self.most_pending:
+            new.frame = self._written(ds.name, pending.over(snapshot))
+            self.stored[ds.name] = (new.frame, mutations.Pending(ds.schema, ds.key), 0)
         self.datasets[ds.name] = new
         self.cache.clear()
         for listener in list(self.listeners):
             listener(Change(ds.name, new.version, None if keys is None else list(keys)))
-        return new
+        return self.dataset(ds.name) if frame is not None else new
+
+    def _written(self, name: str, frame: DataFrame) -> DataFrame:
+        """The frame in the shared folder; as it is where there is none to write to."""
+        if not (folder := self.spark.conf.get("spark.checkpoint.dir", None)):
+            return frame
+        path = f"{folder.rstrip('/')}/dataset-{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def _pending(self, ds: Dataset) -> mutations.Pending | None:
+        """Where changed rows of the dataset wait; None if its keys are of a type that cannot."""
+        if ds.schema.get(ds.key, "string") not in mutations.Pending.KEYS:
+            return None
+        if ds.name not in self.stored:
+            self.stored[ds.name] = (ds.frame, mutations.Pending(ds.schema, ds.key), 0)
+        return self.stored[ds.name][1]
 
     def register_view(self, name: str, view: str | None = None) -> None:
         """The dataset, calculated columns and all, as a temporary view for SQL."""
         self.dataset(name).base.createOrReplaceTempView(view or name)
 
     def size(self, name: str) -> int:
-        return self.dataset(name).frame.count()
+        """Rows of the dataset; counted once a version."""
+        ds = self.dataset(name)
+        if ds.rows is None:
+            ds.rows = ds.frame.count()
+        return ds.rows
 
     def clear(self, name: str) -> None:
         ds = self.dataset(name)
@@ -94,40 +137,51 @@ class Engine:
 
     def close(self) -> None:
         self.datasets.clear()
+        self.stored.clear()
         self.cache.clear()
         self.listeners.clear()
 
     # --- changes ---
 
-    def upsert(self, name: str, rows: Sequence[Mapping[str, Any]] | DataFrame) -> Dataset:
-        ds = self.dataset(name)
+    def upsert(self, name: str, rows: Sequence[Mapping[str, Any]] | DataFrame, order: str | None = None) -> Dataset:
+        """order: of rows given as a frame, the column by which the last of equal keys wins; it is not kept."""
+        ds = self._known(name)
         if not ds.key:
+            ds = self.dataset(name)
             more = rows if isinstance(rows, DataFrame) else ingest.from_rows(self.spark, rows, ds.schema, None)
             return self._changed(ds, ds.frame.unionByName(S.project(more, ds.schema, None), allowMissingColumns=True))
-        patches = mutations.as_patches(rows) if isinstance(rows, DataFrame) else mutations.patch_frame(self.spark, rows, ds.schema, ds.key)
-        keys = None if isinstance(rows, DataFrame) else mutations.changed_keys({"update": rows}, ds.key)[0]
-        return self._changed(ds, mutations.upserted(ds.frame, patches, ds.key), keys)
+        if isinstance(rows, DataFrame):
+            return self._changed(ds, mutations.upserted(self.dataset(name).frame, mutations.as_patches(rows, order), ds.key))
+        return self.apply(name, {"update": rows})
 
     def remove(self, name: str, ids: Sequence[Any] | DataFrame) -> Dataset:
-        ds = self.dataset(name)
-        if not isinstance(ids, DataFrame) and not ids:
-            return ds
-        return self._changed(ds, mutations.removed(ds.frame, ids, self._key(ds)))
+        ds = self._known(name)
+        if isinstance(ids, DataFrame):
+            return self._changed(ds, mutations.removed(self.dataset(name).frame, ids, self._key(ds)))
+        return self.apply(name, {"remove": ids}) if ids else self.dataset(name)
 
     def apply(self, name: str, tx: Transaction | Mapping[str, Any]) -> Dataset:
-        ds = self.dataset(name)
+        ds, tx = self._known(name), Transaction.of(tx)
         keys, full = mutations.changed_keys(tx, self._key(ds))
-        return self._changed(ds, mutations.apply_transaction(ds.frame, tx, ds.schema, ds.key), None if full else keys)
+        if (pending := self._pending(ds)) is None:
+            return self._changed(ds, mutations.apply_transaction(self.dataset(name).frame, tx, ds.schema, ds.key), None if full else keys)
+        pending.remove(tx.remove)
+        pending.upsert([*tx.add, *tx.update])
+        return self._changed(ds, None, None if full else keys)
+
+    def _known(self, name: str) -> Dataset:
+        """The dataset as it is, whether or not its rows are put together."""
+        return self.datasets[name] if name in self.datasets else self.dataset(name)
 
     def apply_all(self, name: str, transactions: Sequence[Transaction | Mapping[str, Any]]) -> Dataset:
         """A burst of transactions, in order, in as few steps as that allows."""
-        for tx in mutations.coalesced(transactions, self._key(self.dataset(name))):
+        for tx in mutations.coalesced(transactions, self._key(self._known(name))):
             self.apply(name, tx)
         return self.dataset(name)
 
     def edit(self, name: str, key: Any, field: str, value: Any) -> Dataset:
         """One cell; the value is coerced to the column's type."""
-        ds = self.dataset(name)
+        ds = self._known(name)
         return self.upsert(name, [{self._key(ds): key, field: S.coerced(value, ds.schema.get(field))}])
 
     @staticmethod
@@ -141,11 +195,20 @@ class Engine:
         self.listeners.append(listener)
         return lambda: self.listeners.remove(listener) if listener in self.listeners else None
 
-    def watch(self, request: ViewRequest | Mapping[str, Any], use: Callable[[Page], None]) -> Callable[[], None]:
-        """Hands a fresh page of the request to `use`, now and after every change of its dataset."""
+    def watch(self, request: ViewRequest | Mapping[str, Any], use: Callable[[Page], None], every: float = 0.0) -> Callable[[], None]:
+        """Hands a fresh page of the request to `use`, now and after changes of its dataset; returns what ends that.
+
+        every: seconds that pass at least between two pages; changes meanwhile make one page at the end.
+        """
         r = ViewRequest.of(request)
-        use(self.page(r))
-        return self.subscribe(lambda change: use(self.page(r)) if change.dataset == r.dataset else None)
+        renew = refresh.Throttle(lambda: use(self.page(r)), every)
+        renew()
+        end = self.subscribe(lambda change: renew() if change.dataset == r.dataset else None)
+        return lambda: (end(), renew.close())[0]
+
+    def blocks(self, size: int = refresh.BLOCK) -> refresh.Blocks:
+        """A cache of collected blocks of rows over this engine, kept current by its changes."""
+        return refresh.Blocks(self, size)
 
     def is_current(self, page: Page) -> bool:
         """Whether the page is of the newest version of its dataset; an outdated one is to be dropped."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +24,11 @@ def as_percent(x: Column, digits: int = 2) -> Column:
 def exceeds(x: Column, limit: float) -> Column:
     """Strictly above the limit; a missing share is not."""
     return F.coalesce(x > limit, F.lit(False))
+
+
+def resolved(field: str, func: str, stamped: Mapping[str, Mapping[str, Any]] | None, context: Mapping[str, Mapping[str, Any]] | None, default: Any = None) -> Any:
+    """An aggregate that a row refers to: what is stamped on the row goes before what its page has."""
+    for matrix in (stamped, context):
+        if matrix and func in (matrix.get(field) or {}):
+            return matrix[field][func]
+    return default

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from quarrygrid import schema as S
 from quarrygrid.functions.aggregates import known
 from quarrygrid.functions.expressions import compile_expression
+from quarrygrid.operators.predicates import active_model
 
 
 class RequestError(ValueError):
@@ -44,7 +45,7 @@ class Dataset:
     """A named table with its key (None: rows without one are only appended), calculated columns and tree."""
 
     name: str
-    frame: DataFrame
+    frame: DataFrame | None
     schema: dict[str, str]
     key: str | None
     calc: dict[str, str] = field(default_factory=dict)
@@ -52,6 +53,7 @@ class Dataset:
     weight: str | None = "quantity"
     default_measures: tuple[str, ...] = ()
     version: int = 0
+    rows: int | None = None
 
     @property
     def types(self) -> dict[str, str]:
@@ -117,7 +119,7 @@ class ViewRequest:
             measures=tuple(measures),
             pivots=fields("pivotCols"),
             pivot_mode=bool(r.get("pivotMode")),
-            filters=r.get("filterModel") or {},
+            filters=active_model(r.get("filterModel"), r.get("advancedFilterModel")),
             sort=tuple(Sort(s["colId"], s.get("sort") == "desc", bool(s.get("abs"))) for s in r.get("sortModel") or () if s.get("colId")),
             quick_text=r.get("quickFilterText"),
             quick_fields=tuple(r.get("quickFilterFields") or ()),
@@ -152,6 +154,19 @@ class Page:
         return self.view.count()
 
 
+def row_id(request: ViewRequest, row: Mapping[str, Any], key: str | None, tree: Sequence[str] = ()) -> str:
+    """A name for a collected row: `g:` or `t:` with the path of a group, `tl:` with a tree's leaf, else the row's key.
+
+    Parts of a path are joined by `|`, which is escaped in them as in pivot columns; a null group is `\\0`.
+    """
+    text = lambda v: "\\0" if v is None else str(v).replace("\\", "\\\\").replace("|", "\\|")
+    levels = tree if request.tree else request.groups
+    if len(request.keys) < len(levels) and "group_key" in row:
+        return ("t:" if request.tree else "g:") + "|".join(map(text, (*request.keys, row["group_key"])))
+    own = None if key is None else row.get(key)
+    return ("tl:" if request.tree else "") + ("" if own is None else str(own))
+
+
 @dataclass(frozen=True)
 class Change:
     """A dataset has a new version; keys of the changed rows, or None if everything is to be read again."""

@@ -30,7 +30,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrygrid.schema import SPARK_TYPES, col
+from quarrygrid.schema import NUMERIC, SPARK_TYPES, col
 
 #: Other names of the filter types.
 _KINDS = {"agTextColumnFilter": "text", "agNumberColumnFilter": "number", "agDateColumnFilter": "date", "agSetColumnFilter": "set"}
@@ -203,6 +203,8 @@ def condition(field: str, c: Mapping[str, Any], schema: Mapping[str, str], now:
     if kind == "text" and op in ("equals", "notEqual", "contains", "notContains", "startsWith", "endsWith"):
         return _text(x, of, op, c.get("filter"))
     if kind == "number" and op in _ORDERED_OPS:
+        # A column of another type is read as numbers, where its text is one; what is none compares with nothing.
+        x = x if of in NUMERIC else x.cast("string").try_cast("double")
         return _ordered(x, op, _number(c.get("filter")), _number(c.get("filterTo")))
     if kind == "date" and op in (*_ORDERED_OPS, *PRESETS):
         if op in PRESETS:
@@ -217,15 +219,18 @@ def column_filter(field: str, c: Mapping[str, Any], schema: Mapping[str, str], n
         inherit = {"filterType": c["filterType"]} if c.get("filterType") else {}
         some = [{**inherit, **x} for x in c["conditions"]]
         if c["operator"].upper() == "OR":
-            return one_of(field, some, schema) if _all_equal(some) else either(column_filter(field, x, schema, now) for x in some)
+            return one_of(field, some, schema) if _all_equal(some, schema.get(field)) else either(column_filter(field, x, schema, now) for x in some)
         return both(column_filter(field, x, schema, now) for x in some)
     if c.get("filterType") == "multi":
         return both(p for x in c.get("filterModels") or [] if x for p in [column_filter(field, x, schema, now)] if p is not None)
     return condition(field, c, schema, now)
 
 
-def _all_equal(some: Sequence[Mapping]) -> bool:
-    return bool(some) and all(_KINDS.get(x.get("filterType"), x.get("filterType")) == "set" or x.get("type") == "equals" and x.get("filter") is not None and _KINDS.get(x.get("filterType"), x.get("filterType")) in (None, "text", "number") for x in some)
+def _all_equal(some: Sequence[Mapping], of: str | None) -> bool:
+    """Are these conditions on a column of type `of` all equalities with values of that type?"""
+    kinds = (None, "text", "number") if of in NUMERIC else (None, "text")
+    name = lambda x: _KINDS.get(x.get("filterType"), x.get("filterType"))
+    return bool(some) and all(name(x) == "set" or x.get("type") == "equals" and x.get("filter") is not None and name(x) in kinds for x in some)
 
 
 def one_of(field: str, some: Sequence[Mapping], schema: Mapping[str, str]) -> Column:
@@ -240,7 +245,7 @@ def advanced(node: Mapping[str, Any], schema: Mapping[str, str], now: Any = None
         some = node.get("conditions") or []
         if str(node.get("type", "AND")).upper() == "OR":
             fields = {x.get("colId") for x in some}
-            if len(fields) == 1 and None not in fields and _all_equal(some):
+            if len(fields) == 1 and None not in fields and _all_equal(some, schema.get(next(iter(fields)))):
                 return one_of(fields.pop(), some, schema)
             parts = [p if (p := advanced(x, schema, now)) is not None else F.lit(True) for x in some]
             return either(parts) if parts else no()

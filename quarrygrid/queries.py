@@ -97,13 +97,8 @@ def top_k(spark, sf_dir):
     return orders(spark, sf_dir).view({"endRow": 10, "sortModel": [{"colId": "o_totalprice", "sort": "asc"}]}).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_custkey, o_orderdate, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM orders WHERE o_custkey <= 20")
-def leaf_projection(spark, sf_dir):
-    return orders(spark, sf_dir).view({"filterModel": {"o_custkey": {"filterType": "number", "type": "lessThanOrEqual", "filter": 20}}})
-
-
 @query("SELECT o_custkey, o_orderdate, o_orderkey, o_orderpriority, o_orderstatus, o_totalprice FROM orders")
-def leaf_projection_all(spark, sf_dir):
+def leaf_projection(spark, sf_dir):
     return orders(spark, sf_dir).view({})
 
 
@@ -288,21 +283,51 @@ def calc_filter(spark, sf_dir):
     return rounded(lineitem(spark, sf_dir, calc=calc).aggregates({"filterModel": m, "valueCols": of("sum net")}))
 
 
-@query("SELECT o_orderkey, year(o_orderdate) AS y, regexp_matches(o_orderpriority, '^[12]') AS hot, substring(o_orderpriority, 1, 1) AS p FROM orders WHERE o_custkey < 50")
+@query("SELECT o_orderkey, year(o_orderdate) AS y, regexp_matches(o_orderpriority, '^[12]') AS hot, substring(o_orderpriority, 1, 1) AS p FROM orders")
 def calc_functions(spark, sf_dir):
     calc = {"y": 'year("o_orderdate")', "hot": """match("o_orderpriority", '^[12]')""", "p": 'substring("o_orderpriority", 1, 1)'}
-    return orders(spark, sf_dir, calc=calc).view({"filterModel": {"o_custkey": {"filterType": "number", "type": "lessThan", "filter": 50}}}).select("o_orderkey", "y", "hot", "p")
+    return orders(spark, sf_dir, calc=calc).view({}).select("o_orderkey", "y", "hot", "p")
 
 
-@query("SELECT o_orderkey, year(o_orderdate) AS y, regexp_matches(o_orderpriority, '^[12]') AS hot, substring(o_orderpriority, 1, 1) AS p FROM orders")
-def calc_functions_all(spark, sf_dir):
-    calc = {"y": 'year("o_orderdate")', "hot": """match("o_orderpriority", '^[12]')""", "p": 'substring("o_orderpriority", 1, 1)'}
-    return orders(spark, sf_dir, calc=calc).view({}).select("o_orderkey", "y", "hot", "p")
+@query("SELECT l_orderkey, l_linenumber::VARCHAR AS l_linenumber FROM lineitem WHERE l_linenumber > 3")
+def filter_number_on_text(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.col("l_linenumber").cast("string").alias("l_linenumber"))
+    e = Engine(spark, NOW)
+    e.configure("main", S.of_frame(df), None)
+    e.load("main", df)
+    return e.view({"filterModel": {"l_linenumber": {"filterType": "number", "type": "greaterThan", "filter": 3}}}).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders")
+def filter_number_not_a_number(spark, sf_dir):
+    return orders(spark, sf_dir).view({"filterModel": {"o_orderpriority": {"filterType": "number", "type": "notEqual", "filter": 5}}}).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+def filter_advanced_single(spark, sf_dir):
+    return orders(spark, sf_dir).view({"advancedFilterModel": {"filterType": "text", "colId": "o_orderstatus", "type": "equals", "filter": "F"}, "filterModel": {"o_orderstatus": {"filterType": "text", "type": "equals", "filter": "O"}}}).select("o_orderkey")
+
+
+@query("SELECT o_orderpriority, o_orderpriority AS group_key, count(*) AS child_count FROM orders GROUP BY 1, 2 ORDER BY 1 DESC LIMIT 3")
+def sort_auto_group(spark, sf_dir):
+    return orders(spark, sf_dir).view({"rowGroupCols": by("o_orderpriority"), "sortModel": [{"colId": "ag-Grid-AutoColumn", "sort": "desc"}], "startRow": 0, "endRow": 3})
 
 
 # --- aggregates ---
 
 
+@query("SELECT o_orderstatus, o_orderstatus AS group_key, count(*) AS child_count, o_orderstatus AS one FROM orders GROUP BY 1, 2, 4")
+def agg_any(spark, sf_dir):
+    out = orders(spark, sf_dir, calc={"one": '"o_orderstatus"'}).view({"rowGroupCols": by("o_orderstatus"), "valueCols": of("any one")})
+    return out.select("o_orderstatus", "group_key", "child_count", "one")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50")
+def message_rows(spark, sf_dir):
+    reply = orders(spark, sf_dir).handle({"type": "getRows", "requestId": 1, "request": {"filterModel": {"o_orderstatus": {"filterType": "text", "type": "equals", "filter": "F"}}, "sortModel": [{"colId": "o_totalprice", "sort": "desc"}], "startRow": 0, "endRow": 50}})
+    return spark.createDataFrame([(r["o_orderkey"], r["o_totalprice"]) for r in reply["result"]["rowData"]], "o_orderkey long, o_totalprice double")
+
+
 @query("SELECT event_type, event_type AS group_key, count(*) AS child_count, arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value, count(DISTINCT user_id) AS users, round(median(value), 4) AS med, round(stddev_samp(value), 4) AS sd, round(var_samp(value), 4) AS vr, round(min(value), 4) AS lo, round(max(value), 4) AS hi, count(value) AS n FROM events GROUP BY 1, 2")
 def agg_stats(spark, sf_dir):
     from quarrygrid.model import Measure, ViewRequest
@@ -436,13 +461,8 @@ def distinct_values(spark, sf_dir):
     return orders(spark, sf_dir).distinct_values("main", "o_orderpriority")
 
 
-@query("SELECT o_custkey AS category, round(sum(o_totalprice), 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY 1 NULLS LAST LIMIT 500")
-def series(spark, sf_dir):
-    return rounded(orders(spark, sf_dir).series("o_custkey", {"filterModel": {"o_orderstatus": {"filterType": "text", "type": "equals", "filter": "F"}}, "valueCols": of("sum o_totalprice")}))
-
-
 @query("SELECT o_custkey AS category, round(sum(o_totalprice), 2) AS o_totalprice FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
-def series_all(spark, sf_dir):
+def series(spark, sf_dir):
     r = {"filterModel": {"o_orderstatus": {"filterType": "text", "type": "equals", "filter": "F"}}, "valueCols": of("sum o_totalprice")}
     return rounded(orders(spark, sf_dir).series("o_custkey", r, limit=None))
 
@@ -464,14 +484,8 @@ def group_leaf_rows(spark, sf_dir):
     return orders(spark, sf_dir).group_leaf_rows(r).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-@query("SELECT event_id, value FROM events WHERE event_type = 'purchase' ORDER BY value DESC NULLS LAST, event_id LIMIT 50000")
-def query_all(spark, sf_dir):
-    e = engine(spark, sf_dir, "events", "event_id")
-    return e.query_all({"filterModel": {"event_type": {"filterType": "text", "type": "equals", "filter": "purchase"}}, "sortModel": [{"colId": "value", "sort": "desc"}]}).select("event_id", "value")
-
-
 @query("SELECT event_id, value FROM events WHERE event_type = 'purchase'")
-def query_all_unlimited(spark, sf_dir):
+def query_all(spark, sf_dir):
     e = engine(spark, sf_dir, "events", "event_id")
     r = {"filterModel": {"event_type": {"filterType": "text", "type": "equals", "filter": "purchase"}}, "sortModel": [{"colId": "value", "sort": "desc"}]}
     return e.query_all(r, limit=None).select("event_id", "value")
@@ -480,6 +494,30 @@ def query_all_unlimited(spark, sf_dir):
 # --- changes ---
 
 
+def _changed(spark, sf_dir) -> Engine:
+    """Partial patches, removals and added rows on orders, one after another, through the engine."""
+    e = orders(spark, sf_dir)
+    table = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    e.upsert("main", table.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit("P").alias("o_orderstatus")))
+    e.upsert("main", table.select((-F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.lit(2.0).alias("o_totalprice")))
+    e.apply("main", {"update": [{"o_orderkey": k, "o_totalprice": None} for k in range(1, 40)], "add": [{"o_orderkey": 0, "o_orderstatus": "A"}]})
+    e.apply("main", {"remove": [3, {"o_orderkey": 7}], "update": [{"o_orderkey": 7, "o_orderpriority": "again"}, {"o_orderkey": 5, "o_totalprice": 1.5}]})
+    return e
+
+
+@query("WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 'A' WHEN o_orderkey % 5 = 0 THEN 'P' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey = 0 THEN 2.0 WHEN o_orderkey = 5 THEN 1.5 WHEN o_orderkey BETWEEN 1 AND 39 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey NOT IN (3, 7)) SELECT * FROM a UNION ALL SELECT -o_orderkey, 'N', 2.0, NULL FROM orders WHERE o_orderkey <> 0 UNION ALL SELECT k, CASE WHEN k % 5 = 0 AND k > 0 THEN NULL WHEN k = 0 THEN 'A' END, CASE WHEN k = 5 THEN 1.5 END, CASE WHEN k = 7 THEN 'again' END FROM range(0, 40) t(k) WHERE k NOT IN (SELECT o_orderkey FROM a) AND k <> 3")
+def engine_changes(spark, sf_dir):
+    return _changed(spark, sf_dir).view({}).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def load_last_of_each_key(spark, sf_dir):
+    e, df = Engine(spark, NOW), spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+    e.configure("main", S.of_frame(df), "user_id")
+    e.load("main", df, order="event_id")
+    return e.view({}).select("user_id", "event_type", "value")
+
+
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
 def upsert_latest(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
@@ -496,13 +534,8 @@ def _transaction(spark, sf_dir, customers: DataFrame) -> DataFrame:
     return mutations.upserted(mutations.removed(base, gone, "o_orderkey"), add.unionByName(update), "o_orderkey")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE NOT o_orderkey % 7 = 0 UNION ALL SELECT -c_custkey, 'N', c_acctbal, NULL FROM customer WHERE c_custkey <= 50")
-def transaction_apply(spark, sf_dir):
-    return _transaction(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 50"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE NOT o_orderkey % 7 = 0 UNION ALL SELECT -c_custkey, 'N', c_acctbal, NULL FROM customer")
-def transaction_apply_all(spark, sf_dir):
+def transaction_apply(spark, sf_dir):
     return _transaction(spark, sf_dir, spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 

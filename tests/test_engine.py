@@ -262,9 +262,9 @@ def test_sources_and_sinks(spark, e, tmp_path):
     for fmt in ("parquet", "json", "orc"):
         e.export({}, str(tmp_path / fmt), fmt, limit=3)
         assert ingest.read(spark, str(tmp_path / fmt), {"id": "string", "pnl": "float"}, "id", fmt).count() == 3
-    p = generated.positions(spark, 500)
-    assert p.select("id").distinct().count() == 500 and p.exceptAll(generated.positions(spark, 500).repartition(7)).count() == 0
-    assert p.where("price < 50 or price > 200 or region is null").count() == 0
+    p = generated.parcels(spark, 500)
+    assert p.select("id").distinct().count() == 500 and p.exceptAll(generated.parcels(spark, 500).repartition(7)).count() == 0
+    assert p.where("fee < 2 or fee > 90 or depot is null").count() == 0
 
 
 def test_messages(spark):
@@ -321,3 +321,100 @@ def test_windows_on_a_stream(spark, tmp_path, small):
     assert sorted(map(tuple, spark.table("daily").collect())) == sorted(map(tuple, counted(events).collect()))
     sliding = windows.sliding(events, "ts", "2 days", "1 day", [], [F.count(F.lit(1)).alias("n")])
     assert sum(r.n for r in sliding.collect()) == 2 * events.count()
+
+
+def plan_leaves(df):
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.collectLeaves().size()
+
+
+def test_many_changes_cost_what_they_hold(spark):
+    """50 upserts, a removal and an edit: one plan of one size, and the rows that a plain table would have."""
+    e = Engine(spark)
+    e.configure("main", {"id": "string", "v": "float", "w": "string"}, "id")
+    rows = {f"k{k}": {"id": f"k{k}", "v": float(k), "w": "x"} for k in range(100)}
+    e.load("main", list(rows.values()))
+    sizes = []
+    for k in range(50):
+        patch = {"id": f"k{k * 3 % 130}", "v": float(-k)} if k % 2 else {"id": f"k{k}", "w": None}
+        e.upsert("main", [patch])
+        rows[patch["id"]] = {"id": patch["id"], "v": None, "w": None} | rows.get(patch["id"], {}) | patch
+        if k in (5, 49):
+            sizes.append(plan_leaves(e.dataset("main").frame))
+    assert sizes[0] == sizes[1]
+    e.remove("main", ["k1", "k2"])
+    e.edit("main", "k2", "w", "back")
+    rows.pop("k1")
+    rows["k2"] = {"id": "k2", "v": None, "w": "back"}
+    assert sorted(map(str, (r.asDict() for r in e.dataset("main").frame.select("id", "v", "w").collect()))) == sorted(map(str, rows.values()))
+    assert e.size("main") == len(rows)
+
+
+def test_pending_rows_are_written_when_many(spark):
+    e = Engine(spark, most_pending=5, compact=2)
+    written = e._written
+    seen = []
+    e._written = lambda name, frame: seen.append(name) or written(name, frame)
+    e.configure("main", {"id": "integer", "v": "float"}, "id")
+    e.upsert("main", [{"id": k, "v": 1.0} for k in range(4)])
+    e.upsert("main", [{"id": k, "v": 2.0} for k in range(2, 9)])
+    assert seen == ["main"]
+    if spark.conf.get("spark.checkpoint.dir", None):
+        assert plan_leaves(e.dataset("main").frame) == 1
+    for k in range(6):
+        e.upsert("main", spark.createDataFrame([(k, 9.0)], "id long, v double"))
+    assert seen == ["main"] * 4
+    assert sorted(tuple(r) for r in e.dataset("main").frame.collect()) == [(k, 9.0 if k < 6 else 2.0) for k in range(9)]
+
+
+def test_blocks_are_shared_patched_and_dropped(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    e = Engine(spark)
+    e.configure("main", {"id": "string", "v": "float"}, "id")
+    e.load("main", [{"id": f"k{k:02}", "v": float(k)} for k in range(10)])
+    b = e.blocks(4)
+    plain, sorted_ = {"dataset": "main"}, {"dataset": "main", "sortModel": [{"colId": "v", "sort": "desc"}]}
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: b.get(plain, 1), range(4)))
+    assert b.queries == 1 and all(x is got[0] for x in got) and [r["id"] for r in got[0]] == ["k04", "k05", "k06", "k07"]
+    assert b.get(sorted_, 0)[0]["id"] == "k09" and b.queries == 2
+    e.upsert("main", [{"id": "k05", "v": 99.0}])
+    # The row is replaced where it stands; the sorted block, in which it moves, is read again.
+    assert b.get(plain, 1)[1] == {"id": "k05", "v": 99.0} == b.find("main", "k05") and b.queries == 2
+    assert b.get(sorted_, 0)[0]["id"] == "k05" and b.queries == 3
+    e.remove("main", ["k00"])
+    assert [r["id"] for r in b.get(plain, 0)] == ["k01", "k02", "k03", "k04"] and b.queries == 4
+    assert b.get(plain, 1)[0]["id"] == "k05" and b.queries == 5
+    e.upsert("main", [{"id": "k00", "v": 1.0}])
+    assert b.get(plain, 1)[0]["id"] == "k04"
+    b.close()
+
+
+def test_throttle_leads_and_trails():
+    import time
+
+    from quarrygrid.streaming.refresh import Throttle
+
+    seen = []
+    t = Throttle(lambda: seen.append(1), 0.2)
+    for _ in range(5):
+        t()
+    assert len(seen) == 1
+    time.sleep(0.5)
+    assert len(seen) == 2
+    t()
+    t()
+    t.close()
+    time.sleep(0.4)
+    assert len(seen) == 3
+
+
+def test_row_ids_and_stamped_aggregates():
+    from quarrygrid.functions.shares import resolved
+    from quarrygrid.model import ViewRequest, row_id
+
+    r = ViewRequest(groups=("a", "b"), keys=("x|y",))
+    assert row_id(r, {"group_key": None}, "id") == "g:x\\|y|\\0" and row_id(ViewRequest(), {"id": 5}, "id") == "5"
+    assert row_id(ViewRequest(tree=True, keys=()), {"group_key": "q"}, "id", ["a"]) == "t:q" and row_id(ViewRequest(tree=True, keys=("q",)), {"id": 1}, "id", ["a"]) == "tl:1"
+    assert resolved("v", "sum", {"v": {"sum": 0}}, {"v": {"sum": 5}}) == 0 and resolved("v", "sum", {"v": {"max": 1}}, {"v": {"sum": 5}}) == 5 and resolved("v", "sum", None, {}, 7) == 7
