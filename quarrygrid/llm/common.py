@@ -16,6 +16,12 @@ from pyspark.sql.window import Window as W
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@functools.lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    """One temporary folder for each application; the setting itself cannot be changed in a running session."""
+    return "file://" + tempfile.mkdtemp(prefix=f"quarrygrid-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -26,8 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "")
         if not (master == "local" or master.startswith("local[")):
             raise RuntimeError(f"spark.checkpoint.dir is not set, and the executors of {master} do not share a local folder")
-        found = "file://" + tempfile.mkdtemp(prefix="quarrygrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 

@@ -8,7 +8,7 @@ from quarrygrid.llm import queries
 from quarrygrid.llm.common import saved
 from test_mixing import brute_targets
 from test_packing import check as check_packing
-from test_simhash import brute as brute_groups
+from test_similar import brute as brute_groups
 from test_suffix_dedup import brute as brute_passages
 
 
@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark, small, documents):
             kept = {r.doc_id for r in queries.op9_quality_votes(spark, small).where("kept").collect()}
             assert {r.doc_id for r in docs.collect()} == kept
         elif name == "simhash_near_dedup":
-            assert {r.doc_id for r in docs.collect()} == {c for _, _, c in brute_groups([(r.doc_id, r.text) for r in rows])}
+            assert sorted(r.doc_id for r in docs.collect()) == brute_groups([(r.doc_id, r.text) for r in rows])
         elif name == "suffix_dedup":
             want = {d: n - gone for d, n, gone, _, _ in brute_passages([(r.doc_id, r.text) for r in rows], 100)}
             for r in docs.collect():
@@ -51,10 +51,30 @@ def test_run_packs_every_document_of_the_mix(spark, small):
 
 
 def test_odd_rows_pass_every_stage(spark, small, odd, none):
-    for df in (odd, none):
-        docs = df.select(*P.COLUMNS)
-        for _, stage in P.STAGES:
-            docs = saved(stage(spark, docs, small), "odd")
+    """What each stage's docstring says of nulls, empty and long texts, repeated rows and empty tables."""
+    docs = odd.select(*P.COLUMNS)
+    for name, stage in P.STAGES:
+        before, docs = docs, saved(stage(spark, docs, small), "odd")
+        rows, was = docs.collect(), before.collect()
+        ids = Counter(r.doc_id for r in rows)
+        if name == "quality_rules":
+            # Null, empty, blank and short texts go, and so do texts that repeat themselves; the null doc_id stays.
+            assert set(ids) == {None} and [r.text for r in rows] == [r.text for r in was if r.doc_id is None]
+            before, docs = odd.select(*P.COLUMNS), odd.select(*P.COLUMNS)  # the other stages get all rows
+        elif name == "simhash_near_dedup":
+            # Repeated rows, null and empty texts and copies in capitals are groups; of each the first stays.
+            assert ids[10] == 1 and ids[7] == 0 and ids[2] == 0 and ids[1] == 1 and ids[3] + ids[4] + ids[5] == 1
+        elif name == "suffix_dedup":
+            assert sum(ids.values()) == len(was) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        elif name == "source_mix":
+            assert max(ids.values()) <= 2 and set(ids) <= {r.doc_id for r in was}
+        else:
+            # One piece at least of every row, an empty or null text being the end id alone.
+            assert len({(r.doc_id, r.sequence_id, r.offset) for r in rows if r.piece == 0}) == len(was)
+    docs = none.select(*P.COLUMNS)
+    for _, stage in P.STAGES:
+        docs = saved(stage(spark, docs, small), "none")
+        assert docs.count() == 0
 
 
 def test_registered(spark):
