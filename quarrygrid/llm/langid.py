@@ -12,6 +12,7 @@ judged each on its own, and null doc_ids train as others do; with no training te
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +26,34 @@ from .common import renamed, rows
 def sample(docs: DataFrame, trains: Column, per_language: int = 120, most_languages: int = 200, each: int = 2048) -> dict[str, list[str]]:
     """Training texts by language: of each, the per_language rows that come first by a hash of doc_id and text.
 
-    Of a text longer than `each` characters, as many are taken from a place that the hash chooses.  One pass
-    over docs: Spark cuts every language to per_language rows before they are shuffled.  What reaches the
-    driver is bounded by per_language * most_languages * each characters; more than most_languages languages
-    are an error.
+    Of a text longer than `each` characters, as many are taken from a place that the hash chooses.  Rows are
+    counted by language first; of a large one only hashes small enough for some eight times per_language
+    rows go on, so that no task gets more, however many partitions there are.  What reaches the driver is
+    bounded by per_language * most_languages * each characters; more than most_languages languages are an error.
     """
-    known = renamed(docs, ["doc_id", "text", "lang"]).where(trains & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = renamed(docs, ["doc_id", "text", "lang"]).where(trains & F.col("lang").isNotNull())
+    counts = known.where(F.col("text").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not counts:
+        return {}
+    # Equal rows have equal hashes: of a language that is mostly one text, few or all rows may pass.
+    bound = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1 << 40, (8 * per_language << 40) // r.n)))])
     h = F.xxhash64("doc_id", "text")
     place = F.pmod(h, F.greatest(F.lit(1), F.char_length("text") - (each - 1))).cast("int") + 1
-    known = known.select("lang", h.alias("h"), F.col("doc_id").alias("id"), F.col("text").substr(place, F.lit(each)).alias("piece"))
-    first = known.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "piece"))).where(F.col("nth") <= per_language)
+    known = known.where(F.col("text").isNotNull()).select("lang", F.pmod(h, F.lit(1 << 40)).alias("h"), F.col("doc_id").alias("id"), F.col("text").substr(place, F.lit(each)).alias("piece"))
+
+    def taken(rows_: DataFrame) -> list:
+        first = rows_.withColumn("nth", F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "piece"))).where(F.col("nth") <= per_language)
+        return first.select("lang", "nth", "piece").collect()
+
+    found = taken(known.where(F.col("h") < F.element_at(bound, F.col("lang"))))
+    got = Counter(r.lang for r in found)
+    if few := [r.lang for r in counts if got[r.lang] < min(per_language, r.n)]:
+        found = [r for r in found if r.lang not in few] + taken(known.where(F.col("lang").isin(few)))
     out: dict[str, list[tuple[int, str]]] = {}
-    found = first.select("lang", "nth", "piece").limit(most_languages * per_language + 1).collect()
     for r in found:
         out.setdefault(r.lang, []).append((r.nth, r.piece))
-    if len(out) > most_languages or len(found) > most_languages * per_language:
-        raise ValueError(f"more than {most_languages} languages")
     return {lang: [piece for _, piece in sorted(out[lang])] for lang in sorted(out)}
 
 
