@@ -1,7 +1,12 @@
+import random
 import re
 
 import corpus_pipeline as P
+import numpy as np
+from pyspark.sql import functions as F
+
 from quarrygrid.llm import quality, similar
+from quarrygrid.llm.components import forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,3 +57,47 @@ def test_odd(spark, odd, none):
     assert stay.columns == odd.columns
     assert stay.count() == len({r.root for r in similar.near_duplicates(odd).collect()})
     assert similar.representatives(none).count() == 0
+
+
+def test_long_texts_same_as_brute_force(spark, small):
+    """Two groups of near copies around the threshold, one of texts longer than a sample, one of shorter ones."""
+    rng = random.Random(5)
+    rows = []
+    for length in (1500, 150):
+        text = [f"w{length}x{k}" for k in range(length)]
+        for k in range(40):
+            changed = [f"c{len(rows)}" if rng.random() < 0.022 else w for w in text]
+            rows.append((len(rows), " ".join(changed), "en", "a", 1))
+    stay = brute([r[:2] for r in rows])
+    assert 2 < len(stay) < len(rows)
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, spark.createDataFrame(rows, DOCS), small).collect()) == stay
+
+
+def test_pairs_of_a_group_stay_in_their_block(spark):
+    """Of 120 near copies of a short text no more links come out than there are texts in bands, and all are sure."""
+    rng = random.Random(6)
+    text = [f"w{k}" for k in range(150)]
+    docs = spark.createDataFrame([(k, " ".join(f"c{k}" if rng.random() < 0.02 else w for w in text)) for k in range(120)], "doc_id long, text string")
+    own = similar.signatures(docs, 5)
+    distinct = own.select("fp", "n", "sketch").distinct()
+    here = similar.placed(distinct).withColumn("root", F.col("fp"))
+    found = similar.sets(docs, own, distinct.select("fp"), 5)
+    out = similar.apart(here, distinct, found, 80, block=32, each=500).collect()
+    assert all(r.sure for r in out) and 0 < len(out) <= here.count()
+    sets = {r.fp: set(r.found) for r in found.collect()}
+    alike = [(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and 100 * len(x & y) >= 80 * len(x | y)]
+    assert forest((r.a, r.b) for r in out) == forest(alike)
+    assert similar.apart(here, distinct, found, 80, last=True).count() == 0
+
+
+def test_shared_hashes_of_samples():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2000, n)).astype(np.uint64) for n in (30, 900, 1200, 5)]
+    cut = [x[:300] for x in sets]
+    value, length = np.concatenate(cut), np.array([len(x) for x in cut])
+    most = np.array([x[299] if len(x) > 300 else ~np.uint64(0) for x in sets], np.uint64)
+    i, j = np.array([0, 0, 0, 1, 1, 2]), np.array([1, 2, 3, 2, 3, 3])
+    common, either = similar.shared(i, j, np.cumsum(length) - length, length, np.unique(value, return_inverse=True)[1], value, most)
+    for k, (a, b) in enumerate(zip(i, j, strict=True)):
+        x, y = ({int(v) for v in sets[c] if v <= min(most[a], most[b])} for c in (a, b))
+        assert (common[k], either[k]) == (len(x & y), len(x | y))
