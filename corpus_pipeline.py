@@ -29,6 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a 5-word Jaccard similarity of 0.8 the one with the smallest doc_id.
 
+    Texts meet at SimHash anchors of their 5-word shingles; the exact similarity decides.
     Null, empty and blank texts are one group; of a group's rows with one doc_id the one whose text has the
     smallest hash stays, of equal rows any; a null doc_id stays only where its group has no other.
     """

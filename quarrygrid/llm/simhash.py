@@ -15,6 +15,12 @@ is split by the skew handling of the join.
 
 Components: connected components of the links, as in `components`.
 
+Wide prints (`wide_marks`) are for texts that are alike but differ in more bits: `WIDTH` majority bits over
+a set of hashes, and for each bit how far the majority is from a tie.  A bit near a tie is the one that a
+near copy has otherwise.  The print is cut into blocks of 31 bits, in `WAYS` ways of dealing the bits
+out, and every block has the same anchors within 2 as above; `likely_anchors` visits those whose bits to be
+turned are nearest a tie, and of all blocks those that a near copy visits most likely as well.
+
 Defined results: a null or empty text has no shingle and fingerprint zero, which links like any
 other; fewer than three words give one shingle, the whole sequence; rows with equal doc_id take
 part each by its own fingerprint; a null doc_id has its fingerprint's component, which is null only
@@ -23,6 +29,7 @@ if it holds no other doc_id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +39,12 @@ from pyspark.sql import functions as F
 from .common import carried, parts_for, renamed, rows, saved, unpacked
 from .components import components
 
+#: Bits of a wide print, ways of cutting it into blocks, steps of the distance from a tie, and their length in deviations.
+WIDTH, WAYS, STEPS, STEP = 512, 16, 8, 0.25
+#: Anchors a text visits, of a block at most, and up to how many hashes (ties are common there) it visits all of these.
+VISITS, OF_BLOCK, FEW = 320, 4, 8
+
+
 def fingerprint_bits(words: list[bytes], size: int) -> int:
     """The 64-bit fingerprint of a word sequence."""
     from xxhash import xxh64_intdigest as hashed
@@ -88,6 +101,57 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(row), np.concatenate(at), np.concatenate(own)
 
 
+def wide_marks(found: np.ndarray) -> np.ndarray:
+    """For each bit of the wide print of a set of hashes: 8 if over half have it set, plus steps from a tie, up to 7."""
+    spread = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    seeds = np.arange(1, WIDTH // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    count = np.zeros(WIDTH, np.int64)
+    for k in range(0, len(found), 255):  # counts of 255 hashes at most fit into bytes, eight of which are added at once
+        z = found[k : k + 255, None] + seeds
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        count += spread[z.view(np.uint8)].sum(axis=0, dtype=np.uint64).view(np.uint8)
+    over = 2 * count - len(found)
+    steps = np.minimum(STEPS - 1, np.abs(over) / (STEP * math.sqrt(max(1, len(found)))))
+    return (over > 0).astype(np.uint8) << np.uint8(3) | steps.astype(np.uint8)
+
+
+def blocks() -> np.ndarray:
+    """The 31 bits of a wide print that make each block, a row a block."""
+    rng = np.random.default_rng(11)
+    return np.concatenate([rng.permutation(WIDTH)[: WIDTH // 31 * 31].reshape(-1, 31) for _ in range(WAYS)])
+
+
+def likely_anchors(marks: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, block << 31 | anchor) of prints (rows of wide_marks); few: rows that visit all anchors of their blocks.
+
+    An anchor's cost is minus the logarithm of the chance that a text at a similarity of 0.8 lies at it exactly.
+    """
+    turned = np.array([math.erfc((k + 0.5) * STEP * 1.94 / math.sqrt(2)) / 2 for k in range(STEPS)])
+    turn, keep = (np.log((1 - turned) / turned)).astype(np.float32), (-np.log(1 - turned)).astype(np.float32)
+    dealt, n = blocks(), len(marks)
+    steps, set_ = (marks & np.uint8(7))[:, dealt], (marks >> np.uint8(3))[:, dealt]
+    x = (set_.astype(np.uint32) << np.arange(31, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+    syndrome = np.bitwise_xor.reduce(set_ * np.arange(1, 32, dtype=np.uint8), axis=2)
+    price = np.zeros((n, len(dealt), 32), np.float32)
+    price[:, :, 1:] = turn[steps]
+    i = np.arange(32, dtype=np.uint8)
+    j = (syndrome[:, :, None] ^ i).astype(np.int64)
+    cost = price + np.take_along_axis(price, j, 2) + keep[steps].sum(axis=2)[:, :, None]
+    # Bit 0 is none: the home turns the syndrome's bit alone, others two bits; a code word is its only anchor.
+    cost[(i >= j) & (i > 0) | (i > 0) & (syndrome[:, :, None] == 0)] = np.inf
+    least = np.argpartition(cost, OF_BLOCK - 1, axis=2)[:, :, :OF_BLOCK]
+    bit = np.append(np.uint32(0), np.uint32(1) << np.arange(31, dtype=np.uint32))
+    at = (x[:, :, None] ^ bit[least] ^ bit[np.take_along_axis(j, least, 2)]).astype(np.int64)
+    at = (at | np.arange(len(dealt), dtype=np.int64)[:, None] << 31).reshape(n, -1)
+    cost = np.take_along_axis(cost, least, 2).reshape(n, -1)
+    visited = np.repeat(few[:, None], at.shape[1], axis=1)
+    np.put_along_axis(visited, np.argpartition(cost, VISITS - 1, axis=1)[:, :VISITS], True, 1)
+    row, place = np.nonzero(visited & np.isfinite(cost))
+    return row, at[row, place]
+
+
 def links(distinct: DataFrame, bits: int = 2, each: int = 20_000) -> DataFrame:
     """Pairs a < b of the distinct fingerprints (column fp) that differ in `bits` bits or fewer, at most 2.
 

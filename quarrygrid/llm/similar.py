@@ -1,18 +1,20 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by SimHash anchors, held against the Jaccard similarity of word shingles.
 
 Shingles: texts are lower-cased (A-Z) and cut into words, as for the fingerprints of `simhash`; a
 text is the set of its 5-word shingles, hashed by XXH64.  Two texts are linked where their sets
-have a Jaccard similarity of at least 0.8.  That lies beyond a covering search on fingerprints:
-such texts differ in ten of 64 bits on average.
-
-Search: a text's sketch has 256 minimum hashes, a byte of each, of which any two texts share the part
-that is their similarity.  Bands of eight bytes, 64 of them by two ways of dealing the bytes out, make
-texts meet; a pair at exactly 0.8 meets in none about once in 18,000 times (simulated).  Texts that meet are
+have a Jaccard similarity of at least 0.8.  Such texts differ in ten of 64 bits on average, beyond the
+radius of the fingerprints of `simhash`; wide prints of 512 bits differ in 78.
+
+Search: a text's sketch is its wide print with the steps from a tie, four bits each.  The print's blocks visit
+the anchors of the covering code that a near copy visits most likely as well (`simhash.likely_anchors`), and
+texts that visit the same anchor meet.  Anchors with the same visitors count once; two texts alone at an anchor
+that differ in more than 140 bits do not meet there.  Of pairs at exactly 0.8 the README has the share that
+meets at no anchor, as simulated.  Texts that meet are
 linked in three steps.  First each text is held against one other, the least that it meets, by the exact
-similarity; that connects most of a group of copies by as many pairs as it has texts.  Then the texts of a band
-that are still in different components are compared in blocks of bounded size, where a pair whose sketches
-agree in 176 bytes or more (205 are expected at 0.8, with a deviation of 6.4) is looked at, once, at the first
-band it shares.  Each text brings the 512 smallest hashes of its set.  If that is all of both sets, the block
+similarity; that connects most of a group of copies by as many pairs as it has texts.  Then the texts of an anchor,
+or all that meet directly or through others if these bring fewer rows (`pooled`), that are still in different components are compared in blocks of bounded size, where a pair whose prints
+differ in 140 bits or fewer (78 are expected at 0.8, with a deviation of 8) is looked at, once in its block.
+Each text brings the 512 smallest hashes of its set.  If that is all of both sets, the block
 itself decides by the exact similarity, and a forest of its links leaves it.  Of longer sets the samples only
 estimate the similarity; each text's most alike partner is held against the exact one, and last, what is
 then still in different components.  So of texts up to 512 shingles no pairs leave a block, of longer
@@ -24,6 +26,7 @@ five words give one shingle, the whole sequence; doc_id is as in `simhash`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import carried, parts_for, renamed, rows, saved, slices
 from .components import components, forest, roots
-from .simhash import first_of_each
+from .simhash import FEW, VISITS, WIDTH, first_of_each, likely_anchors, wide_marks
 
-#: Bytes of a sketch, of a band, ways of dealing them out, equal bytes from which a pair is looked at, and hashes of a sample.
-SKETCH, EACH, WAYS, ENOUGH, SAMPLE = 256, 8, 2, 176, 512
+#: Bytes of a sketch, and hashes of a sample.
+SKETCH, SAMPLE = WIDTH // 2, 512
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -49,29 +52,25 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter(some, np.uint64))
 
 
-def least_hashes(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """For each factor the minimum of the hashes it makes of a set."""
-    least = np.full(len(factors), (1 << 32) - 1, np.uint32)
-    x = (found >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(x), 1 << 9):
-        least = np.minimum(least, (factors[:, None] * x[None, k : k + (1 << 9)]).min(axis=1))
-    return least
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The wide print of a set, two bits and their steps a byte."""
+    marks = wide_marks(found)
+    return marks[::2] | marks[1::2] << np.uint8(4)
 
 
-def sketch(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """A byte of each minimum hash."""
-    h = least_hashes(found, factors) * np.uint32(0x85EBCA6B)
-    return (h >> np.uint32(24)).astype(np.uint8)
+def visits(sketches: np.ndarray, n: np.ndarray, some: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, anchor) of sketches (rows) of sets of n hashes, `some` rows at a time."""
+    for k in range(0, len(n), some):
+        own = sketches[k : k + some]
+        marks = np.stack([own & np.uint8(15), own >> np.uint8(4)], axis=2).reshape(len(own), -1)
+        row, at = likely_anchors(marks, n[k : k + some] <= FEW)
+        yield row + k, at
 
 
-def bands(sketches: np.ndarray, ways: int = WAYS, each: int = EACH) -> np.ndarray:
-    """The bands of each sketch (row): 64-bit numbers that are equal where a band's bytes are."""
-    rng = np.random.default_rng(11)
-    dealt = [np.arange(SKETCH) if k == 0 else rng.permutation(SKETCH) for k in range(ways)]
-    own = np.concatenate([np.ascontiguousarray(sketches[:, d]).view(f"<u{each}").astype(np.uint64) for d in dealt], axis=1)
-    place = np.arange(1, own.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    own = (own ^ place) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (own ^ own >> np.uint64(29)).view(np.int64)
+def reach(percent: int) -> int:
+    """Bits in which prints of sets of this similarity may differ: 7.7 deviations over the mean, for ties in small sets."""
+    p = math.acos(2 * percent / (100 + percent)) / math.pi
+    return int(WIDTH * p + 7.7 * math.sqrt(WIDTH * p * (1 - p)))
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
@@ -81,14 +80,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh64_intdigest as hashed
 
-        factors = np.random.default_rng(7).integers(0, 1 << 32, SKETCH, np.uint32) | np.uint32(1)
         for some in rows(batches, 1 << 22):
             fps, sizes, sketches = [], [], []
             for x in some:
                 found = shingles(x[2], size)
                 fps.append(hashed(found.tobytes(), 42))
                 sizes.append(len(found))
-                sketches.append(sketch(found, factors).tobytes())
+                sketches.append(sketch(found).tobytes())
             ids, hashes = (pa.array([x[k] for x in some], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "fp", "n", "sketch"])
 
@@ -97,19 +95,113 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def placed(distinct: DataFrame) -> DataFrame:
-    """fp, n and band: a row for each band of every set of distinct (fp, n, sketch)."""
+    """fp, n and band: a row for each anchor that sets of distinct (fp, n, sketch) visit."""
 
     def make(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for some in slices(batches, 4096):
-            own = bands(np.frombuffer(b"".join(some.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH))
-            times = own.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(c).to_numpy(), times)) for c in ("fp", "n")] + [pa.array(own.ravel())], ["fp", "n", "band"])
+            fp, n = (some.column(c).to_numpy() for c in ("fp", "n"))
+            for row, at in visits(np.frombuffer(b"".join(some.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), n):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[row], n[row], at)], ["fp", "n", "band"])
 
     return distinct.select("fp", "n", "sketch").mapInArrow(make, "fp long, n long, band long")
 
 
+def meeting(distinct: DataFrame, percent: int, each: int = 4_000, entries: int = 500_000) -> DataFrame:
+    """fp, n and band of sets that meet; a band names all visitors of an anchor, met of them, of which least is the least.
+
+    What placed() gives as rows moves here as arrays, by parts of the anchors.  Of two visitors whose sizes are not
+    alike no rows come out.  each: sets that a task places, entries: visits that a task gathers, about.
+    """
+    count = distinct.count()
+    parts = parts_for(count * VISITS, entries)
+
+    def deal(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for some in slices(batches, 2048):
+            fp, n = (some.column(c).to_numpy() for c in ("fp", "n"))
+            rows_, at = (np.concatenate(x) for x in zip(*visits(np.frombuffer(b"".join(some.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), n), strict=True))
+            mixed = at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            part = ((mixed ^ mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, rows_, at = part[order], rows_[order], at[order]
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            columns = [fp[rows_], n[rows_], (at & ((1 << 31) - 1)).astype(np.uint32), (at >> 31).astype(np.uint16)]
+            packed = [pa.array([x.tobytes() for x in np.split(c, cut[1:])], pa.binary()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *packed], ["part", "fp", "n", "anchor", "block"])
+
+    def gather(table):
+        import pyarrow as pa
+
+        fp, n, anchor, block = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("fp", np.int64), ("n", np.int64), ("anchor", np.uint32), ("block", np.uint16)))
+        at = block.astype(np.int64) << 31 | anchor
+        order = np.lexsort((fp, at))
+        fp, n, at = fp[order], n[order], at[order]
+        start = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+        length = np.diff(np.append(start, len(at)))
+        keep = length > 1
+        two = np.flatnonzero(length == 2)
+        x, y = n[start[two]], n[start[two] + 1]
+        keep[two] = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        # The name of a set of visitors: the sum of their mixed numbers, and how many they are.
+        z = fp.view(np.uint64)
+        z = (z ^ z >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        name = np.add.reduceat(z ^ z >> np.uint64(32), start) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if len(at) else z
+        once = np.flatnonzero(keep)
+        once = once[np.unique(name[once], return_index=True)[1]]
+        start, length, name = start[once], length[once], name[once].view(np.int64)
+        rows_ = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+        out = [fp[rows_], n[rows_], np.repeat(name, length), np.repeat(length, length), np.repeat(fp[start], length), np.repeat(n[start], length)]
+        return pa.table([pa.array(c, pa.int64()) for c in out], ["fp", "n", "band", "met", "least", "least_n"])
+
+    spread = distinct.select("fp", "n", "sketch").repartition(parts_for(count, each), "fp")
+    dealt = spread.mapInArrow(deal, "part long, fp binary, n binary, anchor binary, block binary")
+    met = dealt.groupBy("part").applyInArrow(gather, "fp long, n long, band long, met long, least long, least_n long")
+    met = saved(met.dropDuplicates(["band", "fp"]), "meeting")
+    far = saved(too_far(met, distinct, percent), "too-far")
+    return met.join(far, "band", "left_anti")
+
+
+def pooled(met: DataFrame, block: int = 1024) -> DataFrame:
+    """fp, n and band of meeting(), where all that meets directly or through others is one band if that takes no more rows.
+
+    Such a band's sets are compared each with each, in blocks, and bring as many rows as they have blocks; near copies
+    that share hundreds of anchors, each with other visitors, bring fewer so.  No two that meet are taken apart.
+    """
+    # One link a set connects most; what a band still has apart is linked by its roots.
+    stars = roots(met.where("fp != least").groupBy("fp").agg(F.min("least").alias("a")).select("a", F.col("fp").alias("b")))
+    near = met.select("fp", "n", "band").join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "n", "band", F.coalesce("v", "fp").alias("root"))
+    near = saved(near, "pools-near")
+    apart_ = near.groupBy("band").agg(F.min("root").alias("a"), F.collect_set("root").alias("all")).where(F.size("all") > 1)
+    pools = roots(apart_.select("a", F.explode("all").alias("b")).where("a != b").distinct())
+    rooted = near.join(pools.withColumnRenamed("u", "root"), "root", "left").select("fp", "n", "band", F.coalesce("v", "root").alias("pool"))
+    rooted = saved(rooted, "pools")
+    members = rooted.groupBy("pool", "fp").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("visits"))
+    sizes = members.groupBy("pool").agg(F.count(F.lit(1)).alias("of"), F.sum("visits").alias("visits"))
+    fewer = saved(sizes.where(F.col("of") * F.ceil(F.col("of") / block) <= F.col("visits")).select("pool"), "pools-compared-whole")
+    whole = members.join(fewer, "pool", "left_semi").select("fp", "n", F.col("pool").alias("band"))
+    return rooted.join(fewer, "pool", "left_anti").select("fp", "n", "band").unionByName(whole)
+
+
+def too_far(met: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
+    """band of two sets of meeting() whose prints differ in more bits than sets of that similarity do."""
+
+    def differ(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for some in slices(batches, 4096):
+            x, y = (np.frombuffer(b"".join(some.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in "xy")
+            yield pa.RecordBatch.from_arrays([some.column("band").filter(pa.array(differing(x, y) > reach(percent)))], ["band"])
+
+    pairs = met.where("met = 2 and fp != least").select("band", "least", "fp")
+    both = pairs.join(distinct.select("fp", F.col("sketch").alias("y")), "fp")
+    both = both.join(distinct.select(F.col("fp").alias("least"), F.col("sketch").alias("x")), "least")
+    return both.select("band", "x", "y").mapInArrow(differ, "band long")
+
+
 def sets(docs: DataFrame, own: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """fp and the shingles of every fp of wanted, from one text each."""
 
@@ -138,10 +230,10 @@ def alike(n, m, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many bytes the rows of two arrays are equal; up to 255 words of eight bytes are added up at once."""
-    words = (x == y).view(np.uint64).sum(axis=1, dtype=np.uint64)
-    return words.view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64)
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the prints of the rows of two arrays of sketches differ."""
+    words = (x.view(np.uint64) ^ y.view(np.uint64)) & np.uint64(0x8888888888888888)
+    return np.bitwise_count(words).sum(axis=1, dtype=np.int64)
 
 
 def shared(i: np.ndarray, j: np.ndarray, start: np.ndarray, length: np.ndarray, number: np.ndarray, value: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +261,7 @@ def shared(i: np.ndarray, j: np.ndarray, start: np.ndarray, length: np.ndarray,
 def apart(here: DataFrame, distinct: DataFrame, found: DataFrame, percent: int, last: bool = False, block: int = 1024, each: int = 4_000) -> DataFrame:
     """Pairs (a, b) that meet in a band and are in different components; sure: of a forest of links, else they may be links.
 
-    here: fp, n, band and root.  Of pairs that are not sure each set has the one whose sketches agree most; `last`: all
+    here: fp, n, band and root.  Of pairs that are not sure each set has the one whose prints differ least; `last`: all
     of these pairs and no others.  A band of more than `block` sets is cut into blocks that are compared two by two;
     `each`: sets that a task gets, about.
     """
@@ -182,7 +274,7 @@ def apart(here: DataFrame, distinct: DataFrame, found: DataFrame, percent: int,
     parts = parts_for(left.count(), each)
     brought = distinct.select("fp", "sketch").join(found.select("fp", F.slice("found", 1, SAMPLE).alias("some")), "fp")
     left = left.join(brought, "fp").withColumn("part", F.pmod(F.xxhash64("band", "low", "high"), F.lit(parts)))
-    enough = ENOUGH if percent == 80 else int(SKETCH * percent / 100 - 4.5 * (SKETCH * percent * (100 - percent)) ** 0.5 / 100)
+    far = reach(percent)
     near = percent / 100 - 4.5 * (percent * (100 - percent) / SAMPLE) ** 0.5 / 100
 
     def compare(table):
@@ -192,7 +284,6 @@ def apart(here: DataFrame, distinct: DataFrame, found: DataFrame, percent: int,
         order = np.lexsort((fp, high, low, band))
         fp, n, band, root, own, low, high = (x[order] for x in (fp, n, band, root, own, low, high))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[order]
-        places = bands(sketches)
         length = np.minimum(n, SAMPLE)
         samples = table.column("some")
         value = np.concatenate([x.flatten().to_numpy() for x in samples.chunks]).view(np.uint64)
@@ -216,27 +307,30 @@ def apart(here: DataFrame, distinct: DataFrame, found: DataFrame, percent: int,
             if last:
                 some &= np.maximum(n[i], n[j]) > SAMPLE
             i, j = i[some], j[some]
-            equal = agreeing(sketches[i], sketches[j])
-            some = equal >= enough
-            i, j, equal = i[some], j[some], equal[some]
-            first = places[i, (places[i] == places[j]).argmax(axis=1)] == band[i]
-            i, j, equal = i[first], j[first], equal[first]
+            apart_by = differing(sketches[i], sketches[j])
+            some = apart_by <= far
+            i, j, apart_by = i[some], j[some], apart_by[some]
             if not len(i):
                 continue
+            # Pairs that meet at several anchors are looked at once.
+            first = np.sort(np.unique(np.stack([fp[i], fp[j]]), axis=1, return_index=True)[1])
+            i, j, apart_by = i[first], j[first], apart_by[first]
             common, either = shared(i, j, start, length, number, value, most)
             whole = np.maximum(n[i], n[j]) <= SAMPLE
             some = whole & (100 * common >= percent * either)
             sure.append((fp[i[some]], fp[j[some]]))
             some = ~whole & (common >= near * either)
-            i, j, equal = i[some], j[some], equal[some]
+            i, j, apart_by = i[some], j[some], apart_by[some]
             if not last:
-                by = np.lexsort((j, -equal, i))
+                by = np.lexsort((j, apart_by, i))
                 by = by[np.append(True, i[by][1:] != i[by][:-1])[: len(by)]]
                 i, j = i[by], j[by]
             perhaps.append((fp[i], fp[j]))
         a, b = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in sure)]) for k in (0, 1))
         trees = forest(zip(a.tolist(), b.tolist(), strict=True))
         a, b = (np.concatenate([np.empty(0, np.int64), *(x[k] for x in perhaps)]) for k in (0, 1))
+        if len(a):
+            a, b = np.unique(np.stack([a, b]), axis=1)
         return pa.table({
             "a": pa.array([*trees.values(), *np.minimum(a, b).tolist()], pa.int64()),
             "b": pa.array([*trees, *np.maximum(a, b).tolist()], pa.int64()),
@@ -250,15 +344,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     """doc_id, text_hash, fp, root (names the component) and component_id of every row of docs; see the module."""
     own = saved(signatures(docs, size), "signatures")
     distinct = saved(own.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "distinct-sets")
-    places = saved(placed(distinct), "bands")
-    least = places.groupBy("band").agg(F.min(F.struct("fp", "n")).alias("least"), F.count(F.lit(1)).alias("met")).where("met > 1")
-    met = saved(places.join(least.select("band", "least"), "band"), "met")
+    met = saved(meeting(distinct, percent), "met")
     found = saved(sets(docs, own, met.select("fp").distinct(), size), "sets")
-    stars = met.where((F.col("fp") != F.col("least.fp")) & alike(F.col("n"), F.col("least.n"), percent)).groupBy("fp").agg(F.min("least.fp").alias("a"))
+    stars = met.where((F.col("fp") != F.col("least")) & alike(F.col("n"), F.col("least_n"), percent)).groupBy("fp").agg(F.min("least").alias("a"))
     first = saved(linked(stars.select("a", F.col("fp").alias("b")), found, percent), "links")
     links = first
+    together = saved(pooled(met), "bands")
     for last in (False, True):
-        here = met.select("band", "fp", "n").join(roots(links).withColumnRenamed("u", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("v", "fp").alias("root"))
+        here = together.join(roots(links).withColumnRenamed("u", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("v", "fp").alias("root"))
         rest = saved(apart(saved(here, "bands-rooted"), distinct, found, percent, last), "pairs-apart")
         held = saved(linked(rest.where("not sure").select("a", "b").distinct(), found, percent), "links")
         links = links.unionByName(rest.where("sure").select("a", "b")).unionByName(held)

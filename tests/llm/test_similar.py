@@ -5,7 +5,7 @@ import corpus_pipeline as P
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarrygrid.llm import quality, similar
+from quarrygrid.llm import quality, similar, simhash
 from quarrygrid.llm.components import forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,3 +101,73 @@ def test_shared_hashes_of_samples():
     for k, (a, b) in enumerate(zip(i, j, strict=True)):
         x, y = ({int(v) for v in sets[c] if v <= min(most[a], most[b])} for c in (a, b))
         assert (common[k], either[k]) == (len(x & y), len(x | y))
+
+
+def brute_print(found):
+    """The wide print of a set of hashes as a list of bits, by counting."""
+    mask, count = (1 << 64) - 1, [0] * simhash.WIDTH
+    for x in found:
+        for k in range(simhash.WIDTH // 64):
+            z = (int(x) + (k + 1) * 0x9E3779B97F4A7C15) & mask
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+            z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+            z ^= z >> 31
+            for b in range(64):
+                count[64 * k + b] += z >> b & 1
+    return [2 * c > len(found) for c in count]
+
+
+def test_stage_meets_at_simhash_anchors(spark):
+    """Texts meet at code words of the Hamming code within two bits of a block of their SimHash print, and nowhere else."""
+    texts = [" ".join(f"w{k}x{i % 7}" for i in range(n)) for k, n in enumerate((0, 1, 7, 30, 300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = {r.fp: similar.shingles(texts[r.doc_id], 5) for r in similar.signatures(docs, 5).collect()}
+    prints, blocks = {fp: brute_print(x) for fp, x in own.items()}, simhash.blocks()
+    rows = similar.placed(similar.signatures(docs, 5).select("fp", "n", "sketch")).collect()
+    assert {r.fp for r in rows} == set(own) and len(rows) == len({(r.fp, r.band) for r in rows})
+    for r in rows:
+        anchor = [r.band >> k & 1 for k in range(31)]
+        assert not np.bitwise_xor.reduce([k + 1 for k in range(31) if anchor[k]] or [0])
+        assert sum(a != prints[r.fp][b] for a, b in zip(anchor, blocks[r.band >> 31], strict=True)) <= 2
+
+
+def test_pairs_at_the_threshold_share_an_anchor():
+    rng = np.random.default_rng(2)
+    for n, m, both in ((4, 5, 4), (9, 9, 8), (90, 90, 80), (450, 450, 400)):
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 1 << 63, n + m - both).astype(np.uint64) * np.uint64(2))
+            rng.shuffle(x)
+            sketches = np.stack([similar.sketch(x[:n]), similar.sketch(x[n - both :])])
+            assert similar.differing(sketches[:1], sketches[1:])[0] <= similar.reach(80)
+            ((row, at),) = similar.visits(sketches, np.array([n, m]))
+            assert set(at[row == 0]) & set(at[row == 1])
+
+
+def test_sets_that_meet(spark):
+    """meeting() has every set of visitors of an anchor once, but for two that are not alike or too far apart."""
+    rng = random.Random(8)
+    rows = [" ".join(f"c{rng.random()}" if rng.random() < rate else f"w{k}x{i}" for i in range(60 + k)) for k in range(12) for rate in (0, 0.01, 0.05, 0.2)]
+    docs = spark.createDataFrame([*enumerate(rows), (99, "w0x0 " * 3)], "doc_id long, text string")
+    distinct = similar.signatures(docs, 5).select("fp", "n", "sketch").distinct()
+    whole = {r.fp: (r.n, np.frombuffer(r.sketch, np.uint8)[None]) for r in distinct.collect()}
+    visitors = {}
+    for r in similar.placed(distinct).collect():
+        visitors.setdefault(r.band, set()).add(r.fp)
+    want = set()
+    for x in visitors.values():
+        a, b = sorted(x)[0], sorted(x)[-1]
+        (n, p), (m, q) = whole[a], whole[b]
+        if len(x) > 2 or len(x) == 2 and 100 * min(n, m) >= 80 * max(n, m) and similar.differing(p, q)[0] <= similar.reach(80):
+            want.add(frozenset(x))
+    got = {}
+    for r in similar.meeting(distinct, 80, each=10, entries=1000).collect():
+        got.setdefault(r.band, []).append((r.fp, r.met, r.least))
+    assert len(got) == len(want) > 12 and {frozenset(x[0] for x in g) for g in got.values()} == want
+    assert all(met == len(g) and least == min(x[0] for x in g) for g in got.values() for _, met, least in g)
+    met = similar.meeting(distinct, 80).cache()
+    for block in (1024, 2):
+        bands, out = {}, similar.pooled(met, block).collect()
+        for r in out:
+            bands.setdefault(r.band, set()).add(r.fp)
+        assert all(any(x <= y for y in bands.values()) for x in want)
+        assert len(out) == sum(map(len, bands.values())) <= met.count()
