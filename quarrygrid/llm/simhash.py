@@ -123,9 +123,11 @@ def blocks() -> np.ndarray:
     return np.concatenate([rng.permutation(WIDTH)[: WIDTH // 31 * 31].reshape(-1, 31) for _ in range(WAYS)])
 
 
-def likely_anchors(marks: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def likely_anchors(marks: np.ndarray, few: np.ndarray, most: int = VISITS) -> tuple[np.ndarray, np.ndarray]:
     """(row, block << 31 | anchor) of prints (rows of wide_marks); few: rows that visit all anchors of their blocks.
 
+    most: how many anchors the other rows visit.
+
     An anchor's cost is minus the logarithm of the chance that a text at a similarity of 0.8 lies at it exactly.
     """
     turned = np.array([math.erfc((k + 0.5) * STEP * 1.94 / math.sqrt(2)) / 2 for k in range(STEPS)])
@@ -147,7 +149,7 @@ def likely_anchors(marks: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.n
     at = (at | np.arange(len(dealt), dtype=np.int64)[:, None] << 31).reshape(n, -1)
     cost = np.take_along_axis(cost, least, 2).reshape(n, -1)
     visited = np.repeat(few[:, None], at.shape[1], axis=1)
-    np.put_along_axis(visited, np.argpartition(cost, VISITS - 1, axis=1)[:, :VISITS], True, 1)
+    np.put_along_axis(visited, np.argpartition(cost, most - 1, axis=1)[:, :most], True, 1)
     row, place = np.nonzero(visited & np.isfinite(cost))
     return row, at[row, place]
 

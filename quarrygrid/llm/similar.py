@@ -9,10 +9,12 @@ Search: a text's sketch is its wide print with the steps from a tie, four bits e
 the anchors of the covering code that a near copy visits most likely as well (`simhash.likely_anchors`), and
 texts that visit the same anchor meet.  Anchors with the same visitors count once; two texts alone at an anchor
 that differ in more than 140 bits do not meet there.  Of pairs at exactly 0.8 the README has the share that
-meets at no anchor, as simulated.  Texts that meet are
-linked in three steps.  First each text is held against one other, the least that it meets, by the exact
-similarity; that connects most of a group of copies by as many pairs as it has texts.  Then the texts of an anchor,
-or all that meet directly or through others if these bring fewer rows (`pooled`), that are still in different components are compared in blocks of bounded size, where a pair whose prints
+meets at no anchor, as simulated.  Near copies share hundreds of anchors, each with other visitors, so what meets
+comes out by labels (`pools`): the likeliest anchors give most of a group one label, and for all anchors a part
+then has a row for a label, not for a visit.  Texts that meet are
+linked in three steps.  First each text is held against one other, the least found to meet it, by the exact
+similarity; that connects most of a group of copies by as many pairs as it has texts.  Then all texts that meet directly
+or through others, or those of each anchor if these bring fewer rows (`bands`), that are still in different components are compared in blocks of bounded size, where a pair whose prints
 differ in 140 bits or fewer (78 are expected at 0.8, with a deviation of 8) is looked at, once in its block.
 Each text brings the 512 smallest hashes of its set.  If that is all of both sets, the block
 itself decides by the exact similarity, and a forest of its links leaves it.  Of longer sets the samples only
@@ -39,6 +41,8 @@ from .simhash import FEW, VISITS, WIDTH, first_of_each, likely_anchors, wide_mar
 
 #: Bytes of a sketch, and hashes of a sample.
 SKETCH, SAMPLE = WIDTH // 2, 512
+#: Of a text's anchors the likeliest, which are gathered first.
+FIRST = 32
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -58,12 +62,12 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return marks[::2] | marks[1::2] << np.uint8(4)
 
 
-def visits(sketches: np.ndarray, n: np.ndarray, some: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, anchor) of sketches (rows) of sets of n hashes, `some` rows at a time."""
+def visits(sketches: np.ndarray, n: np.ndarray, some: int = 128, most: int = VISITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, anchor) of sketches (rows) of sets of n hashes, `some` rows at a time; most: of a set the likeliest so many."""
     for k in range(0, len(n), some):
         own = sketches[k : k + some]
         marks = np.stack([own & np.uint8(15), own >> np.uint8(4)], axis=2).reshape(len(own), -1)
-        row, at = likely_anchors(marks, n[k : k + some] <= FEW)
+        row, at = likely_anchors(marks, n[k : k + some] <= (FEW if most == VISITS else -1), most)
         yield row + k, at
 
 
@@ -108,63 +112,162 @@ def placed(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", "n", "sketch").mapInArrow(make, "fp long, n long, band long")
 
 
-def meeting(distinct: DataFrame, percent: int, each: int = 4_000, entries: int = 500_000) -> DataFrame:
-    """fp, n and band of sets that meet; a band names all visitors of an anchor, met of them, of which least is the least.
-
-    What placed() gives as rows moves here as arrays, by parts of the anchors.  Of two visitors whose sizes are not
-    alike no rows come out.  each: sets that a task places, entries: visits that a task gathers, about.
-    """
-    count = distinct.count()
-    parts = parts_for(count * VISITS, entries)
+def dealt(distinct: DataFrame, parts: int, each: int, most: int = VISITS) -> DataFrame:
+    """part, and as arrays the visits of distinct (fp, n, sketch, label) to the anchors of the part; each: sets a task places."""
 
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for some in slices(batches, 2048):
-            fp, n = (some.column(c).to_numpy() for c in ("fp", "n"))
-            rows_, at = (np.concatenate(x) for x in zip(*visits(np.frombuffer(b"".join(some.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), n), strict=True))
+            fp, n, label = (some.column(c).to_numpy() for c in ("fp", "n", "label"))
+            rows_, at = (np.concatenate(x) for x in zip(*visits(np.frombuffer(b"".join(some.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH), n, most=most), strict=True))
             mixed = at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             part = ((mixed ^ mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, rows_, at = part[order], rows_[order], at[order]
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
-            columns = [fp[rows_], n[rows_], (at & ((1 << 31) - 1)).astype(np.uint32), (at >> 31).astype(np.uint16)]
+            columns = [fp[rows_], n[rows_], label[rows_], (at & ((1 << 31) - 1)).astype(np.uint32), (at >> 31).astype(np.uint16)]
             packed = [pa.array([x.tobytes() for x in np.split(c, cut[1:])], pa.binary()) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *packed], ["part", "fp", "n", "anchor", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), *packed], ["part", "fp", "n", "label", "anchor", "block"])
+
+    spread = distinct.select("fp", "n", "sketch", "label").repartition(parts_for(distinct.count(), each), "fp")
+    return spread.mapInArrow(deal, "part long, fp binary, n binary, label binary, anchor binary, block binary")
+
+
+def gathered(table, percent: int) -> tuple[np.ndarray, ...]:
+    """fp, n and label of the visits of a part of dealt(), anchor by anchor; length and name of the anchors.
+
+    Only anchors that two sets or more visit, those with the same visitors once; of two whose sizes are not alike none.
+    """
+    fp, n, label, anchor, block = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("fp", np.int64), ("n", np.int64), ("label", np.int64), ("anchor", np.uint32), ("block", np.uint16)))
+    at = block.astype(np.int64) << 31 | anchor
+    order = np.lexsort((fp, at))
+    fp, n, label, at = fp[order], n[order], label[order], at[order]
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    length = np.diff(np.append(start, len(at)))
+    keep = length > 1
+    two = np.flatnonzero(length == 2)
+    x, y = n[start[two]], n[start[two] + 1]
+    keep[two] = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+    # The name of a set of visitors: the sum of their mixed numbers, and how many they are.
+    z = fp.view(np.uint64)
+    z = (z ^ z >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    name = np.add.reduceat(z ^ z >> np.uint64(32), start) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if len(at) else z
+    once = np.flatnonzero(keep)
+    once = once[np.unique(name[once], return_index=True)[1]]
+    start, length, name = start[once], length[once], name[once].view(np.int64)
+    rows_ = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+    return fp[rows_], n[rows_], label[rows_], length, name
+
+
+def meeting(distinct: DataFrame, percent: int, each: int = 4_000, entries: int = 500_000) -> DataFrame:
+    """fp, n and band of sets that meet; a band names all visitors of an anchor, met of them, of which least is the least.
+
+    What placed() gives as rows moves here as arrays, by parts of the anchors.  Of two visitors whose sizes are not
+    alike no rows come out.  each: sets that a task places, entries: visits that a task gathers, about.
+    """
 
     def gather(table):
         import pyarrow as pa
 
-        fp, n, anchor, block = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("fp", np.int64), ("n", np.int64), ("anchor", np.uint32), ("block", np.uint16)))
-        at = block.astype(np.int64) << 31 | anchor
-        order = np.lexsort((fp, at))
-        fp, n, at = fp[order], n[order], at[order]
-        start = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
-        length = np.diff(np.append(start, len(at)))
-        keep = length > 1
-        two = np.flatnonzero(length == 2)
-        x, y = n[start[two]], n[start[two] + 1]
-        keep[two] = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-        # The name of a set of visitors: the sum of their mixed numbers, and how many they are.
-        z = fp.view(np.uint64)
-        z = (z ^ z >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ z >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-        name = np.add.reduceat(z ^ z >> np.uint64(32), start) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if len(at) else z
-        once = np.flatnonzero(keep)
-        once = once[np.unique(name[once], return_index=True)[1]]
-        start, length, name = start[once], length[once], name[once].view(np.int64)
-        rows_ = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
-        out = [fp[rows_], n[rows_], np.repeat(name, length), np.repeat(length, length), np.repeat(fp[start], length), np.repeat(n[start], length)]
+        fp, n, _, length, name = gathered(table, percent)
+        start = np.cumsum(length) - length
+        out = [fp, n, *(np.repeat(x, length) for x in (name, length, fp[start], n[start]))]
         return pa.table([pa.array(c, pa.int64()) for c in out], ["fp", "n", "band", "met", "least", "least_n"])
 
-    spread = distinct.select("fp", "n", "sketch").repartition(parts_for(count, each), "fp")
-    dealt = spread.mapInArrow(deal, "part long, fp binary, n binary, anchor binary, block binary")
-    met = dealt.groupBy("part").applyInArrow(gather, "fp long, n long, band long, met long, least long, least_n long")
+    parts = parts_for(distinct.count() * VISITS, entries)
+    met = dealt(distinct.withColumn("label", F.col("fp")), parts, each).groupBy("part").applyInArrow(gather, "fp long, n long, band long, met long, least long, least_n long")
     met = saved(met.dropDuplicates(["band", "fp"]), "meeting")
     far = saved(too_far(met, distinct, percent), "too-far")
     return met.join(far, "band", "left_anti")
 
 
+def labels_meeting(labelled: DataFrame, percent: int, most: int, each: int = 4_000, entries: int = 500_000) -> DataFrame:
+    """a, b, visits, x, y and least: which labels of labelled (fp, n, sketch, label) meet at the `most` likeliest anchors.
+
+    Two sets x and y alone at anchors are a row, with their labels.  Of anchors with more visitors a part of them
+    has one row for each label a, with b, the least label that it meets there directly or through others, and the
+    least set that the set named a meets, if their sizes are alike.  visits: how many the row stands for.
+    """
+
+    def gather(table):
+        import pyarrow as pa
+
+        fp, n, label, length, _ = gathered(table, percent)
+        start = np.cumsum(length) - length
+        two = np.zeros(len(length), bool)
+        two[length == 2] = (label[start[length == 2]] != label[start[length == 2] + 1])
+        x = start[two]
+        once, times = np.unique(np.stack([fp[x], fp[x + 1], label[x], label[x + 1]]), axis=1, return_counts=True)
+        least, least_n = (np.repeat(c[start], length) for c in (fp, n))
+        least_label = np.repeat(np.minimum.reduceat(label, start), length) if len(label) else label
+        more = np.repeat(~two, length)
+        fp, n, label, least, least_n, least_label = (c[more] for c in (fp, n, label, least, least_n, least_label))
+        pairs = np.unique(np.stack([least_label, label]), axis=1)
+        trees = forest(zip(*pairs[:, pairs[0] != pairs[1]].tolist(), strict=True))
+        here, tally = np.unique(label, return_counts=True)
+        first = np.full(len(here), np.iinfo(np.int64).max)
+        star = (fp == label) & (fp != least) & (100 * np.minimum(n, least_n) >= percent * np.maximum(n, least_n))
+        np.minimum.at(first, np.searchsorted(here, label[star]), least[star])
+        none, absent = np.zeros(len(here), np.int64), np.ones(len(here), bool)
+        columns = {
+            "a": [pa.array(once[2]), pa.array(here)],
+            "b": [pa.array(once[3]), pa.array([trees.get(v, v) for v in here.tolist()], pa.int64())],
+            "visits": [pa.array(2 * times), pa.array(tally)],
+            "x": [pa.array(once[0]), pa.array(none, mask=absent)],
+            "y": [pa.array(once[1]), pa.array(none, mask=absent)],
+            "least": [pa.array(once[0]), pa.array(first, mask=first == np.iinfo(np.int64).max)],
+        }
+        return pa.table({k: pa.chunked_array([c.cast(pa.int64()) for c in v], pa.int64()) for k, v in columns.items()})
+
+    parts = parts_for(labelled.count() * most, entries)
+    return dealt(labelled, parts, each, most).groupBy("part").applyInArrow(gather, "a long, b long, visits long, x long, y long, least long")
+
+
+def pools(distinct: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """fp and label of all sets, where those that meet directly or through others have one label; label and visits; stars.
+
+    The likeliest anchors are gathered first: they give most sets of a group of near copies one label, so that of
+    all their other anchors a part has a row for the group and not one for each visit.  stars: a set b with
+    another that it meets, a.
+    """
+    labels, stars = distinct.select("fp", F.col("fp").alias("label")), None
+    for most in (FIRST, VISITS):
+        labelled = distinct.select("fp", "n", "sketch").join(labels, "fp")
+        met = saved(labels_meeting(labelled, percent, most), "labels-meeting")
+        two = met.where("x is not null").groupBy("x", "y").agg(F.min("a").alias("a"), F.min("b").alias("b"), F.sum("visits").alias("visits"))
+        two = saved(two.withColumn("pair", F.monotonically_increasing_id()), "two-alone")
+        far = too_far(two.select(F.col("pair").alias("band"), F.lit(2).alias("met"), F.col("x").alias("least"), F.col("y").alias("fp")), distinct, percent)
+        two = two.join(far.withColumnRenamed("band", "pair"), "pair", "left_anti")
+        more = met.where("x is null")
+        own = two.select("a", "b", "visits", F.col("y").alias("fp"), F.col("x").alias("least")).unionByName(more.select("a", "b", "visits", F.col("a").alias("fp"), "least"))
+        own = saved(own, "labels-linked")
+        tree = saved(roots(own.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "pools")
+        name = lambda c, tree=tree: c.join(tree.withColumnRenamed("u", "label"), "label", "left").withColumn("label", F.coalesce("v", "label")).drop("v")
+        labels = saved(name(labels), "labels")
+        found = own.where("least is not null").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+        stars = found if stars is None else stars.unionByName(found)
+    visited = name(own.select(F.col("a").alias("label"), "visits")).groupBy("label").agg(F.sum("visits").alias("visits"))
+    return labels, visited, stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
+
+def bands(distinct: DataFrame, percent: int, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """fp, n and band, so that any two sets that meet are in a band together; and a star of links to be tried first.
+
+    All that meets directly or through others is one band, as in pooled(), if that takes no more rows than it has visits.
+    Only the others' anchors come out one by one.
+    """
+    labels, visited, stars = pools(distinct, percent)
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("of")).where("of > 1").join(visited, "label", "left")
+    sizes = saved(sizes.withColumn("whole", (F.col("of") <= block) | (F.col("of") * F.ceil(F.col("of") / block) <= F.coalesce("visits", F.lit(0)))), "pool-sizes")
+    members = saved(labels.join(sizes.select("label", "whole"), "label").join(distinct.select("fp", "n"), "fp").select("fp", "n", F.col("label").alias("band"), "whole"), "pool-members")
+    out = members.where("whole").drop("whole")
+    if not (rest := members.where("not whole").select("fp")).isEmpty():
+        out = out.unionByName(pooled(meeting(distinct.join(rest, "fp", "left_semi"), percent), block))
+    return out, stars
+
+
 def pooled(met: DataFrame, block: int = 1024) -> DataFrame:
     """fp, n and band of meeting(), where all that meets directly or through others is one band if that takes no more rows.
 
@@ -225,11 +328,6 @@ def linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("k") >= percent * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b")
 
 
-def alike(n, m, percent: int):
-    """Can sets of these sizes be so similar?"""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
-
-
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """In how many bits the prints of the rows of two arrays of sketches differ."""
     words = (x.view(np.uint64) ^ y.view(np.uint64)) & np.uint64(0x8888888888888888)
@@ -344,12 +442,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     """doc_id, text_hash, fp, root (names the component) and component_id of every row of docs; see the module."""
     own = saved(signatures(docs, size), "signatures")
     distinct = saved(own.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "distinct-sets")
-    met = saved(meeting(distinct, percent), "met")
-    found = saved(sets(docs, own, met.select("fp").distinct(), size), "sets")
-    stars = met.where((F.col("fp") != F.col("least")) & alike(F.col("n"), F.col("least_n"), percent)).groupBy("fp").agg(F.min("least").alias("a"))
-    first = saved(linked(stars.select("a", F.col("fp").alias("b")), found, percent), "links")
-    links = first
-    together = saved(pooled(met), "bands")
+    together, stars = bands(distinct, percent)
+    together = saved(together, "bands")
+    found = saved(sets(docs, own, together.select("fp").distinct(), size), "sets")
+    links = saved(linked(stars, found, percent), "links")
     for last in (False, True):
         here = together.join(roots(links).withColumnRenamed("u", "fp"), "fp", "left").select("band", "fp", "n", F.coalesce("v", "fp").alias("root"))
         rest = saved(apart(saved(here, "bands-rooted"), distinct, found, percent, last), "pairs-apart")

@@ -171,3 +171,43 @@ def test_sets_that_meet(spark):
             bands.setdefault(r.band, set()).add(r.fp)
         assert all(any(x <= y for y in bands.values()) for x in want)
         assert len(out) == sum(map(len, bands.values())) <= met.count()
+
+
+def near_copies(rng, copies, alone=20):
+    """Short texts that share most of their words, few of them alike enough for a link, and some texts of their own."""
+    text = [f"w{k}" for k in range(120)]
+    rows = [" ".join(f"c{rng.random()}" if rng.random() < 0.04 else w for w in text) for _ in range(copies)]
+    return [*rows, *(" ".join(f"a{k}x{i}" for i in range(60)) for k in range(alone))]
+
+
+def test_near_copies_meet_in_few_rows(spark, small, monkeypatch):
+    """However many parts the anchors are dealt to, a group of near copies writes few rows a text, not one for each anchor that it shares."""
+    rows = [(k, x, "en", "a", 1) for k, x in enumerate(near_copies(random.Random(9), 200))]
+    written = {}
+
+    def saved(df, name, plain=similar.saved):
+        out = plain(df, name)
+        written[name] = max(out.count(), written.get(name, 0))
+        return out
+
+    monkeypatch.setattr(similar, "saved", saved)
+    monkeypatch.setattr(similar, "parts_for", lambda n, each: 40)
+    stay = brute([r[:2] for r in rows])
+    assert 25 < len(stay) < len(rows)
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, spark.createDataFrame(rows, DOCS), small).collect()) == stay
+    assert max(written.values()) < 40 * len(rows), written
+
+
+def test_bands_hold_all_that_meet(spark):
+    """Any two sets that meet are in a band together, whether their group is compared whole or anchor by anchor."""
+    docs = spark.createDataFrame([*enumerate([*near_copies(random.Random(10), 60), "one two", "one two three", "", "w0 " * 9])], "doc_id long, text string")
+    distinct = similar.signatures(docs, 5).select("fp", "n", "sketch").distinct().cache()
+    met = {}
+    for r in similar.meeting(distinct, 80).collect():
+        met.setdefault(r.band, set()).add(r.fp)
+    assert len(met) > 100
+    for block in (1024, 32, 1):
+        held = {}
+        for r in similar.bands(distinct, 80, block)[0].collect():
+            held.setdefault(r.band, set()).add(r.fp)
+        assert all(any(x <= y for y in held.values()) for x in met.values())
